@@ -73,3 +73,16 @@ def look_up(rows: DataFrame, keys: list[str], make, spread: Column) -> DataFrame
     return joined.select(
         *rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_cold_{c}")).alias(c) for c in new)
     )
+
+
+def slices(column, limit: int = 1 << 22):
+    """Pairs (start, stop) that cut an Arrow string column into runs of at most `limit` bytes, or one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(sizes):
+        stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, side="right")))
+        yield start, stop
+        start = stop
