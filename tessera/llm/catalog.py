@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, sharding, tokens
+from tessera.llm import exact_dedup, packing, pii, sharding, tokens
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
+    "op5_pii": pii.op5_pii,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op10_sharding": sharding.op10_sharding,
