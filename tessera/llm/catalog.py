@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, packing, pii, sharding, tokens
+from tessera.llm import exact_dedup, langid, packing, pii, sharding, tokens
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
     "op7_token_counts": tokens.op7_token_counts,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -146,10 +147,14 @@ def graph(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, ...]
 
 def weak_labels(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
     """The label of each token by the base span that overlaps it, or 0."""
-    out = []
-    for a, b in spans:
-        hit = [kind for kind, s, e in base if s < b and a < e]
-        out.append(1 + hit[0] if hit else 0)
+    out = [0] * len(spans)
+    starts = [a for a, _ in spans]
+    for kind, s, e in reversed(base):  # of several kinds the first wins
+        k = max(0, bisect.bisect_right(starts, s) - 1)
+        while k < len(spans) and spans[k][0] < e:
+            if spans[k][1] > s:
+                out[k] = 1 + kind
+            k += 1
     return out
 
 
@@ -215,7 +220,7 @@ def marginals(nodes: list[tuple[int, ...]], chain: list[tuple[int, int]], skip:
 
 
 #: Marginal from which a token's label is taken.
-SURE = 0.8
+SURE = 0.6
 
 
 def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
