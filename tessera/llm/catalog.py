@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, langid, packing, pii, sharding, tokens
+from tessera.llm import exact_dedup, html_text, langid, packing, pii, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
+    "op2_html_text": html_text.op2_html_text,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
     "op7_token_counts": tokens.op7_token_counts,
