@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, langid, packing, pii, sharding, tokens
+from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pii, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
     "op2_html_text": html_text.op2_html_text,
+    "op3_near_dup": near_dup.op3_near_dup,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
     "op7_token_counts": tokens.op7_token_counts,
