@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.operators import aggregates
+from tessera.functions import scalars, udfs
+from tessera.operators import aggregates, joins, relational, windows
 from tessera.plans.registry import Registry
+from tessera.sources import files
+from tessera.streaming import windows as streams
 
 REGISTRY = Registry()
-for module in (aggregates,):
+for module in (relational, joins, aggregates, windows, scalars, udfs, files, streams):
     module.register_queries(REGISTRY)
