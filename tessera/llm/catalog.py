@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pii, sharding, tokens
+from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pieces, pii, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_pieces": pieces.op9_pieces,
     "op10_sharding": sharding.op10_sharding,
 }
 ORACLE_SQL = {
