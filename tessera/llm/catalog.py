@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pieces, pii, sharding, tokens
+from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pieces, pii, search, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_near_dup": near_dup.op3_near_dup,
     "op4_packing": packing.op4_packing,
     "op5_pii": pii.op5_pii,
+    "op6_bm25_search": search.op6_bm25_search,
     "op7_token_counts": tokens.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pieces": pieces.op9_pieces,
