@@ -70,7 +70,7 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nda
     out, h = [], np.zeros(len(points), dtype=np.uint64)
     for k, n in enumerate(GRAMS):
         last = np.zeros_like(points)
-        last[: len(points) - n + 1] = points[n - 1 :]
+        last[: max(0, len(points) - n + 1)] = points[n - 1 :]
         h = (h + last.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         bucket = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int64) + k * BUCKETS
@@ -158,11 +158,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs or [NONE], np.round(log_p * SCALE).astype(np.int32))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """`docs` with lang_pred and score (0 to 1); only the text is read for it. The matrix is a broadcast of fixed size.
 
+    Columns that have those names already are replaced.
+
     Null texts and texts without a letter get `und` and 0; so does every text if nothing could be learned.
     """
+    docs = docs.drop(*names)
     at = docs.columns.index(text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -176,10 +179,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 langs += [NONE if b < 0 else model.langs[b] for b in best.tolist()]
                 scores += [0.0 if model.langs == [NONE] else x for x in p.tolist()]
             yield pa.record_batch(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, "lang_pred", "score"]
+                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names]
             )
 
-    more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+    more = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -196,5 +199,6 @@ LEAST_SCORE = 0.5
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified: not `und`, with a score of at least LEAST_SCORE; columns as before."""
-    renamed = docs.drop("lang_pred", "score")
-    return predict(renamed, fit(docs)).filter((F.col("lang_pred") != NONE) & (F.col("score") >= LEAST_SCORE)).select(*renamed.columns)
+    names = ("_tessera_lang", "_tessera_score")
+    sure = (F.col(names[0]) != NONE) & (F.col(names[1]) >= LEAST_SCORE)
+    return predict(docs, fit(docs), names=names).filter(sure).select(*docs.columns)

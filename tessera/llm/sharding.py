@@ -17,7 +17,7 @@ ITEMS = 1024
 SLOT_ROWS = 1_000_000
 
 
-def schedule(items: list[tuple[int, int]], shards: int) -> dict[int, int]:
+def schedule(items: list[tuple[int, tuple]], shards: int) -> dict[tuple, int]:
     """item -> shard: items (size, id), largest first (ties by id), each to the least-loaded shard (ties by number)."""
     heap = [(0, s) for s in range(shards)]
     placed = {}
@@ -36,10 +36,12 @@ def shard_by_size(rows: DataFrame, size: Column, group: Column, shards: int) ->
     shards * ITEMS; all smaller groups fall by a hash of their key into shards * ITEMS bundles, each an
     item with the sum of its groups. So the heap, which runs on the driver, sees at most 2 * shards * ITEMS
     items at any input size, every group counts, and the shards differ by about the smallest items. Group
-    sums are partial per task, so one group may hold any share of the rows.
+    sums are partial per task, so one group may hold any share of the rows. Columns of `rows` that are named
+    size, shard or slot are replaced. An empty table gives an empty result.
     """
     spark = rows.sparkSession
-    sized = rows.select("*", size.cast("long").alias("size"), group.alias("_group"))
+    sized = rows.withColumn("_bytes", size.cast("long")).withColumn("_group", group)
+    sized = sized.drop("size", "shard", "slot").withColumnRenamed("_bytes", "size")
     groups = cut(sized.groupBy(F.xxhash64("_group").alias("_g64"), "_group").agg(F.sum("size").alias("_bytes")).drop("_group"))
     # A group is known by 64 bits from here on: two groups of equal bits would only stay together.
     total = groups.agg(F.sum("_bytes")).first()[0] or 0
