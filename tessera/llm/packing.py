@@ -16,6 +16,8 @@ from tessera.session import table
 
 #: Pieces that one packing task holds, about (some 60 bytes each).
 PIECES_PER_PART = 100_000
+#: Bins that a certified part gives up at most (an eighth of its bins, if that is less): the emptiest.
+RELEASED = 16
 #: The id that ends each document.
 END_ID = 1
 
@@ -95,7 +97,7 @@ def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataF
     """Adds sequence_id and offset to rows (doc_id, piece, start, length, ids_crc32).
 
     Pieces are dealt at random into parts of about `per_part`; each part packs by best-fit decreasing, and
-    dual feasible functions certify its bin count. Certified parts keep their bins but for the emptiest one;
+    dual feasible functions certify its bin count. Certified parts keep their bins but for the emptiest few;
     parts with gaps give up all theirs. What was given up is exchanged (dealt anew, into fewer parts) and
     packed again, until one part holds the rest. Each round is written to the shared folder. Rows that are
     repeated or have a null doc_id are packed like others; an empty table gives an empty result.
@@ -105,7 +107,7 @@ def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataF
         lengths = t.column("length").to_numpy()
         bins, offsets, used = best_fit_decreasing(lengths, size)
         fill = np.bincount(bins, weights=lengths, minlength=used)
-        emptiest = bins == (int(fill.argmin()) if used else 0)
+        emptiest = np.isin(bins, np.argsort(fill, kind="stable")[: max(1, min(RELEASED, used // 8))])
         sure = np.full(len(lengths), used == lower_bound(lengths, size))
         out = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
         for name, column in (("bin", bins), ("offset", offsets), ("certified", sure), ("last", emptiest)):
