@@ -106,11 +106,29 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, all columns. `docs` must be a table scan, whose row order is fixed."""
-    kept = cut(exact_duplicates(docs, id_col, text_col).filter("kept").select("row_id"))
-    kept = kept.withColumnRenamed("row_id", "_tessera_row_id")
-    marked = docs.withColumn("_tessera_row_id", F.monotonically_increasing_id())
-    return marked.join(kept, "_tessera_row_id", "left_semi").drop("_tessera_row_id")
+    """The rows of `docs` that stay, all columns.
+
+    Rows are found again by their id and the digest of their normalised text, never by their place in a scan,
+    which may change when executors come and go. Of rows that repeat an id and a text the smallest stays.
+    """
+    found = cut(exact_duplicates(docs, id_col, text_col))
+    keys = ["_tessera_id", "_tessera_sha"]
+    key = lambda df: df.select(F.col("doc_id").alias(keys[0]), F.col("text_sha256").alias(keys[1]))
+    marked = docs.withColumn(keys[0], F.col(id_col)).withColumn(keys[1], F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).cast("binary"), 256))
+
+    def at(other: DataFrame):
+        return marked[keys[0]].eqNullSafe(other[keys[0]]) & (marked[keys[1]] == other[keys[1]])
+
+    repeated = cut(key(found).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n"))
+    stays = key(found.filter("kept"))
+    if not repeated.limit(1).count():
+        return marked.join(stays, at(stays), "left_semi").drop(*keys)
+    stays = cut(stays)
+    once = stays.join(repeated, stays[keys[0]].eqNullSafe(repeated[keys[0]]) & (stays[keys[1]] == repeated[keys[1]]), "left_anti")
+    again = stays.join(repeated, stays[keys[0]].eqNullSafe(repeated[keys[0]]) & (stays[keys[1]] == repeated[keys[1]]), "left_semi")
+    single = marked.join(once, at(once), "left_semi").drop(*keys)
+    least = marked.join(again, at(again), "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(least.select("row.*"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
