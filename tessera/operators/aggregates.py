@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
-from tessera.session import register, table
+from tessera.session import table
 
 
 def pricing_summary(lineitem: DataFrame) -> DataFrame:
@@ -150,6 +150,11 @@ def register_queries(r: Registry) -> None:
         )
         return by.agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("customers"), F.count(F.lit(1)).alias("statuses"))
 
+    @r.query("agg_kll_quantiles")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        by = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.expr("kll_sketch_agg_double(o_totalprice)").alias("kll"))
+        return by.select("o_orderstatus", F.round(F.expr("kll_sketch_get_quantile_double(kll, 0.5)"), 2).alias("median"))
+
     @r.query(
         "agg_map_histogram",
         """WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY 1, 2)

@@ -131,6 +131,19 @@ def register_queries(r: Registry) -> None:
         both = orders.select("o_custkey").join(customer.select("c_custkey", "c_nationkey").hint("merge"), F.col("o_custkey") == F.col("c_custkey"))
         return both.join(nation.hint("broadcast"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"))
 
+    @r.query("join_shuffle_hash", "SELECT o_orderstatus, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+        items = table(spark, sf_dir, "lineitem").select("l_orderkey")
+        both = items.join(orders.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+        return both.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+    @r.query("join_replicate", "SELECT r_name, n_name FROM region, nation WHERE r_regionkey < n_regionkey")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # 5 by 25 rows at any scale
+        region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+        return region.join(nation.hint("shuffle_replicate_nl"), F.col("r_regionkey") < F.col("n_regionkey")).select("r_name", "n_name")
+
     r.sql(
         "join_six_tables",
         "customer orders lineitem supplier nation region",
