@@ -86,3 +86,55 @@ def slices(column, limit: int = 1 << 22):
         stop = start + max(1, int(np.searchsorted(np.cumsum(sizes[start:]), limit, side="right")))
         yield start, stop
         start = stop
+
+
+#: Bytes of the batches that go to Python and back, unless the session asks for smaller ones.
+BATCH_BYTES = 8 << 20
+_held: dict = {"owner": None, "values": {}}
+
+
+def held(owner: str) -> dict:
+    """What a worker process keeps for `owner` between tasks. Another owner's things are dropped, as all share its memory."""
+    if _held["owner"] != owner:
+        _held.update(owner=owner, values={})
+    return _held["values"]
+
+
+def _bounded(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def _release() -> None:
+    """Gives freed memory back to the system, which a reused worker would keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches of bounded bytes, in workers that give their memory back after each task."""
+    _bounded(df.sparkSession)
+
+    def guarded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(guarded, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], run, schema) -> DataFrame:
+    """df.groupBy(keys).applyInArrow under the same rules; `run` takes the key and the group's table."""
+    _bounded(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(lambda key, t: run(key, t), schema)

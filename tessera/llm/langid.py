@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import slices
+from tessera.llm.common import map_arrow, slices
 from tessera.session import table
 
 #: Lengths of the n-grams, and hash buckets for each length.
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"]
             )
 
-    counted = chosen.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_arrow(chosen, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     langs = sorted(set(counted.column("lang").to_pylist()))
     counts = np.full((size, max(1, len(langs))), SMOOTH)
     if langs:
@@ -183,7 +183,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
             )
 
     more = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return map_arrow(docs, run, T.StructType([*docs.schema.fields, *more]))
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

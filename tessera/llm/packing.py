@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, map_arrow, map_groups, slices
 from tessera.llm.tokens import WordBpe, ready
 from tessera.session import table
 
@@ -90,7 +90,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, size: int, id_col: str
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, PIECES)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, PIECES)
 
 
 def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataFrame:
@@ -121,9 +121,10 @@ def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataF
         # the level is hashed too, so parts exchange their documents
         part = F.pmod(F.xxhash64(*columns[:3], F.lit(level)), F.lit(parts)).alias("part")
         packed = cut(
-            rest.select(*columns, part).groupBy("part").applyInArrow(
-                lambda key, t: run(t).append_column("part", pa.array([key[0].as_py()] * len(t), pa.int64())), PACKED + ", part long"
-            )
+            map_groups(
+                rest.select(*columns, part), ["part"],
+                lambda key, t: run(t).append_column("part", pa.array([key[0].as_py()] * len(t), pa.int64())), PACKED + ", part long",
+            )
         )
         # a sequence's number: level, part, bin
         number = F.lit(level << 56) + F.shiftleft(F.col("part"), 28) + F.col("bin")

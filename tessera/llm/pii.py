@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import map_arrow, slices
 from tessera.session import table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -275,7 +275,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound:
     pairs = pa.list_(pa.list_(pa.int64()))
     kind = pa.schema([("nodes", pairs), ("chain", pairs), ("skip", pairs), ("labels", pa.list_(pa.int64()))])
     ddl = "nodes array<array<long>>, chain array<array<long>>, skip array<array<long>>, labels array<long>"
-    got = some.mapInArrow(run, ddl).limit(2 * bound).toArrow().to_pylist()
+    got = map_arrow(some, run, ddl).limit(2 * bound).toArrow().to_pylist()
     got.sort(key=repr)  # the order of tasks has no say
     return train([(r["nodes"], r["chain"], r["skip"], r["labels"]) for r in got])
 
@@ -307,8 +307,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
                 names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    return map_arrow(
+        docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
 
@@ -330,18 +330,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
             for start, stop in slices(batch.column(at)):
-                for text in batch.column(at).slice(start, stop - start).to_pylist():
-                    texts.append(text if text is None else redacted(text, all_spans(text, model)[1]))
-            columns = list(batch.columns)
-            columns[at] = pa.array(texts, pa.string())
-            if n_at is not None:
-                columns[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-            yield pa.record_batch(columns, names=batch.schema.names)
+                part = batch.slice(start, stop - start)
+                texts = [t if t is None else redacted(t, all_spans(t, model)[1]) for t in part.column(at).to_pylist()]
+                columns = list(part.columns)
+                columns[at] = pa.array(texts, pa.string())
+                if n_at is not None:
+                    columns[n_at] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+                yield pa.record_batch(columns, names=batch.schema.names)
 
     changed = docs if n_at is None else docs.withColumn(length_col, F.col(length_col).cast("long"))
-    return changed.mapInArrow(run, changed.schema)
+    return map_arrow(changed, run, changed.schema)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, slices
+from tessera.llm.common import cut, held, map_arrow, slices
 from tessera.session import table
 
 K1, B = 1.2, 0.75
@@ -25,7 +25,6 @@ SHARD_POSTINGS, SHARD_DOCS, BLOCK = 1_200_000, 8192, 64
 DIGITS = 6
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_known: dict[bytes, int] = {}
 
 
 def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -36,16 +35,17 @@ def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if len(_known) > 400_000:
-        _known.clear()
+    known = held("search")
+    if len(known) > 200_000:
+        known.clear()
     out = np.empty(len(words), np.uint64)
     for k, w in enumerate(words):
-        d = _known.get(w)
+        d = known.get(w)
         if d is None:
             core = w.strip(_EDGES)
             d = xxhash.xxh3_64_intdigest(core) | 1 if core else 0  # 0: no term
             if len(w) <= 40:
-                _known[w] = d
+                known[w] = d
         out[k] = d
     terms, counts = np.unique(out, return_counts=True)
     return (terms[1:], counts[1:]) if len(terms) and terms[0] == 0 else (terms, counts)
@@ -199,7 +199,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
             )
 
     asked = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
-    asked = cut(asked.mapInArrow(as_terms, "id long, terms binary, counts binary").filter(F.octet_length("terms") > 0))
+    asked = cut(map_arrow(asked, as_terms, "id long, terms binary, counts binary").filter(F.octet_length("terms") > 0))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
     results = []
     for block in _blocks(asked):
@@ -250,7 +250,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -
         )
 
     # as many rows as the block has terms, whatever the number of documents
-    counted = rows.mapInArrow(count, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
+    counted = map_arrow(rows, count, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
     place, n, words = (counted.column(c).to_numpy() for c in ("term", "n", "words"))
     wanted.unpersist()
     total = int(n[place == -1].sum())
@@ -291,7 +291,7 @@ def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -
         columns = list(zip(*out, strict=True)) if out else [[]] * 3
         yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
 
-    return rows.mapInArrow(search, "query_id long, doc_id long, score double")
+    return map_arrow(rows, search, "query_id long, doc_id long, score double")
 
 
 def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import held, map_arrow, slices
 from tessera.session import table
 
 # The split patterns of the two vocabularies.
@@ -24,7 +24,7 @@ PLAIN = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
 UNSAFE_SPACE = re.compile(r"[^!-~À-ÖØ-öø-ÿ] ")
 SAFE_BOUNDARY = re.compile(r"(?<=[!-~À-ÖØ-öø-ÿ])(?= )")
 #: Pieces kept by a worker, and the longest kept piece; both only bound memory.
-KEPT_PIECES, KEPT_CHARS = 400_000, 48
+KEPT_PIECES, KEPT_CHARS = 200_000, 48
 
 
 def byte_of_symbol() -> dict[str, int]:
@@ -151,14 +151,12 @@ class WordBpe:
             return b"".join(out)
 
 
-_READY: dict[tuple[type, str], object] = {}
-
-
 def ready(kind: type, path: str):
     """One encoder for a worker process, which later tasks use again."""
-    if (kind, path) not in _READY:
-        _READY[kind, path] = kind(path)
-    return _READY[kind, path]
+    kept = held(f"{kind.__name__} {path}")
+    if "encoder" not in kept:
+        kept["encoder"] = kind(path)
+    return kept["encoder"]
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,9 +179,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-    )
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 #: Tokens above which a document counts as over the limit in the registered query.
