@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, look_up, slices
+from tessera.llm.common import cut, held, look_up, map_arrow, map_groups, slices
 from tessera.session import table
 
 
@@ -46,15 +46,14 @@ class Rule:
 #: Base, rate and largest register value of the sketch.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_KEPT_WORDS, _CHUNK = 400_000, 1 << 20
-_word_digests: dict[bytes, int] = {}
+_KEPT_WORDS, _CHUNK = 200_000, 1 << 20
 
 
 def _digests(words: list[bytes]) -> np.ndarray:
     """64-bit digests of words; those of a worker's frequent words are kept."""
     import xxhash
 
-    known = _word_digests
+    known = held("near_dup")
     try:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     except KeyError:
@@ -162,7 +161,7 @@ def sketch_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Dat
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "fp", "sig"]
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, n long, fp binary, sig binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)), run, "doc_id long, n long, fp binary, sig binary")
 
 
 def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,7 +181,7 @@ def _likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
             a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(len(n), -1) for k in ("sig", "hub_sig"))
             yield batch.select(["rep", "hub"]).filter(pa.array(joint_estimate(*_counts(a, b), n, m) >= rule.least_estimate))
 
-    return both.select("rep", "hub", "n", "hub_n", "sig", "hub_sig").mapInArrow(run, "rep long, hub long")
+    return map_arrow(both.select("rep", "hub", "n", "hub_n", "sig", "hub_sig"), run, "rep long, hub long")
 
 
 #: Rows up to which a table of ids is broadcast (16 bytes each); beyond, it is shuffled.
@@ -201,7 +200,8 @@ def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, id_col: str, text_col: st
 
     few = ids.count() <= BROADCAST_ROWS
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col))
-    return cut(texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi").mapInArrow(run, "rep long, set binary").filter(F.octet_length("set") > 0))
+    found = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
+    return cut(map_arrow(found, run, "rep long, set binary").filter(F.octet_length("set") > 0))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -216,7 +216,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
                 ok.append(_holds(x, y, rule))
             yield batch.select(["rep", "hub"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.select("rep", "hub", "set", "hub_set").mapInArrow(run, "rep long, hub long")
+    return map_arrow(both.select("rep", "hub", "set", "hub_set"), run, "rep long, hub long")
 
 
 def _holds(x: np.ndarray, y: np.ndarray, rule: Rule) -> bool:
@@ -249,7 +249,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: Members and shingles of a chunk of a bucket, about; two chunks meet in one task.
-CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 1 << 21
+CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 1 << 19
 
 
 def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
@@ -271,19 +271,39 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
     chunks = lambda c: F.ceil(F.greatest(F.col("c") / CHUNK_MEMBERS, F.col("w") / CHUNK_SHINGLES) * c / F.col("c")).cast("int")
     buckets = cut(buckets.select("key", "main", chunks(F.col("c")).alias("gm"), chunks(F.col("c") - F.col("most")).alias("gl")))
     inside = cut(marked.join(buckets, "key").withColumn("odd", F.col("label") != F.col("main")))
-    sets = _sets(docs, inside.select("rep").distinct(), rule, id_col, text_col)
     at = lambda g: F.pmod(F.xxhash64("rep"), F.col(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
     as_odd = inside.filter("odd").select("key", "band", "rep", "label", at("gl").alias("lc"), every("gm").alias("mc"), F.lit(True).alias("odd"))
     as_any = inside.select("key", "band", "rep", "label", every("gl").alias("lc"), at("gm").alias("mc"), F.lit(False).alias("odd"))
-    sized = reps.select("rep", "sig").join(sets, "rep")
-    rows = as_odd.union(as_any).join(sized, "rep")
+    rows = as_odd.union(as_any).join(reps.select("rep", "n", "sig"), "rep").select("key", "lc", "mc", "band", "rep", "label", "odd", "n", "sig")
+
+    def candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """For each odd row the rows of other components to try, likeliest first."""
+        label, odd, sizes = (t.column(k).to_numpy() for k in ("label", "odd", "n"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(label), -1)
+        band, any_ = t.column("band")[0].as_py(), np.flatnonzero(~odd)
+        for x in np.flatnonzero(odd).tolist():
+            other = any_[(label[any_] != label[x]) & (np.minimum(sizes[any_], sizes[x]) * 100 >= rule.percent * np.maximum(sizes[any_], sizes[x]))]
+            same = sig[other] == sig[x]
+            near = same.sum(1) >= (rule.least_estimate - 0.03) * rule.registers
+            other, same = other[near], same[near]
+            other = other[same.reshape(len(other), rule.bands, rule.rows).all(2).argmax(1) == band]
+            if len(other):
+                est = joint_estimate(*_counts(sig[other], sig[x]), sizes[other].astype(float), np.full(len(other), float(sizes[x])))
+                order = np.argsort(-est, kind="stable")
+                if len(other := other[order[est[order] >= rule.least_estimate]]):
+                    yield x, other
+
+    def likely(t: pa.Table) -> pa.Table:
+        chosen = np.zeros(len(t), bool)
+        for x, other in candidates(t):
+            chosen[x] = True
+            chosen[other] = True
+        return t.filter(pa.array(chosen))
 
     def run(t: pa.Table) -> pa.Table:
-        rep, label, odd = (t.column(k).to_numpy() for k in ("rep", "label", "odd"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(rep), -1)
-        raw = t.column("set").to_pylist()
-        sizes, band = np.array([len(x) // 8 for x in raw]), t.column("band")[0].as_py()
+        rep, label = t.column("rep").to_numpy(), t.column("label").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -292,27 +312,18 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
             return x
 
         out = []
-        any_ = np.flatnonzero(~odd)
-        for x in np.flatnonzero(odd):
-            other = any_[(label[any_] != label[x]) & (np.minimum(sizes[any_], sizes[x]) * 100 >= rule.percent * np.maximum(sizes[any_], sizes[x]))]
-            same = sig[other] == sig[x]
-            near = same.sum(1) >= (rule.least_estimate - 0.03) * rule.registers
-            other, same = other[near], same[near]
-            first = same.reshape(len(other), rule.bands, rule.rows).all(2).argmax(1)
-            other = other[first == band]
-            if not len(other):
-                continue
-            est = joint_estimate(*_counts(sig[other], sig[x]), sizes[other].astype(float), np.full(len(other), float(sizes[x])))
-            order = np.argsort(-est, kind="stable")
-            mine = np.frombuffer(raw[x], np.uint64)
-            for y in other[order[est[order] >= rule.least_estimate]].tolist():
+        for x, other in candidates(t):
+            for y in other.tolist():
                 a, b = root(int(label[x])), root(int(label[y]))
-                if a != b and _holds(mine, np.frombuffer(raw[y], np.uint64), rule):
+                if a != b and _holds(sets[x], sets[y], rule):
                     parent[max(a, b)] = min(a, b)
                     out.append((int(rep[x]), int(rep[y])))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return rows.groupBy("key", "lc", "mc").applyInArrow(run, "a long, b long")
+    # the registers first; full sets travel only for rows that have a likely partner in their chunk
+    left = cut(map_groups(rows, ["key", "lc", "mc"], lambda key, t: likely(t), rows.schema))
+    sets = _sets(docs, left.select("rep").distinct(), rule, id_col, text_col)
+    return map_groups(left.join(sets, "rep"), ["key", "lc", "mc"], lambda key, t: run(t), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
