@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -12,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices
+from tessera.llm.common import map_arrow, slices
 from tessera.llm.tokens import ready
 from tessera.session import table
 
 SPACE = "▁"
 #: Chunks and pairs that a worker keeps, and the longest kept chunk; these only bound memory.
-KEPT, KEPT_CHARS = 300_000, 40
+KEPT, KEPT_CHARS, PAIRS = 300_000, 40, 400_000
 #: How many places the search goes on before it looks for a boundary to commit.
 STRIDE = 64
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -38,7 +39,16 @@ class Lattice:
         self.scores, self.merges = scores, merges
         self.longest = max(map(len, scores), default=1)
         self.lowest = min(scores.values(), default=0.0) - 10
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.by_last: dict[str, dict[str, bool]] = {}  # pairs asked for before
+        self.n_pairs = 0
+        self.automaton = None
+        if merges and scores:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for piece in scores:
+                self.automaton.add_word(piece, piece)
+            self.automaton.make_automaton()
         self.ends: dict = {}  # pieces spelled backwards, letter by letter; None holds (piece, score)
         for piece, score in scores.items():
             node = self.ends
@@ -99,17 +109,23 @@ class Lattice:
             self.known_regular[piece] = got
         return got
 
+    def check(self, a: str, b: str) -> bool:
+        if a and self.regular(a) and self.regular(b):
+            return self._boundary_holds(a, b)
+        return self.merged(a + b) == [p for p in (a, b) if p]
+
     def stays(self, a: str, b: str) -> bool:
         """Whether merging leaves the pieces a and b (a may be empty, at the start) as they are."""
-        got = self.pairs.get((a, b))
+        row = self.by_last.get(a)
+        if row is None:
+            if self.n_pairs > PAIRS:
+                self.n_pairs = 0
+                self.by_last.clear()
+            row = self.by_last[a] = {}
+        got = row.get(b)
         if got is None:
-            if len(self.pairs) > 4 * KEPT:
-                self.pairs.clear()
-            if a and self.regular(a) and self.regular(b):
-                got = self._boundary_holds(a, b)
-            else:
-                got = self.merged(a + b) == [p for p in (a, b) if p]
-            self.pairs[a, b] = got
+            self.n_pairs += 1
+            got = row[b] = self.check(a, b)
         return got
 
     def _boundary_holds(self, a: str, b: str) -> bool:
@@ -132,6 +148,43 @@ class Lattice:
                     return False
         return True
 
+    def short(self, text: str) -> list[str]:
+        """The pieces of a text shorter than a stride under merges: the same search, with nothing to commit early."""
+        pairs, lasts, done = self.by_last, [""] * (len(text) + 1), 0
+        for at, piece in self.automaton.iter(text):  # at each place the longest piece first
+            end = at + 1
+            if end == done:
+                continue
+            while done + 1 < end:  # a character without any piece
+                done += 1
+                lasts[done] = text[done - 1]
+            begin = end - len(piece)
+            last = lasts[begin]
+            if begin and not last:
+                continue
+            row = pairs.get(last)
+            if row is None:
+                row = pairs[last] = {}
+            ok = row.get(piece)
+            if ok is None:
+                self.n_pairs += 1
+                ok = row[piece] = self.check(last, piece)
+            if ok:
+                lasts[end] = piece
+                done = end
+        while done < len(text):
+            done += 1
+            lasts[done] = text[done - 1]
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 0
+            pairs.clear()
+        out, at = [], len(text)
+        while at:
+            out.append(lasts[at])
+            at -= len(lasts[at])
+        out.reverse()
+        return out
+
     def stream(self, text: str) -> Iterator[str]:
         """The pieces in order, each as soon as it is certain; a character without a piece is a piece of its own."""
         base = 0  # committed up to here
@@ -214,10 +267,12 @@ class Encoder:
         # where no piece goes on after a space sign, every path has a boundary before it: chunks stand alone
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the generation before
 
     def _chunk(self, chunk: str) -> bytes:
         out: list[int] = []
-        for piece in self.lattice.stream(chunk):
+        lattice = self.lattice
+        for piece in lattice.short(chunk) if lattice.merges and len(chunk) < STRIDE else lattice.stream(chunk):
             k = self.ids.get(piece)
             if k is not None:
                 out.append(k)
@@ -225,7 +280,7 @@ class Encoder:
                 out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return np.asarray(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
@@ -242,10 +297,13 @@ class Encoder:
             for chunk in chunks:
                 got = kept.get(chunk)
                 if got is None:
-                    got = self._chunk(chunk)
+                    got = self.older.get(chunk)
+                    if got is None:
+                        got = self._chunk(chunk)
                     if len(chunk) <= KEPT_CHARS:
                         if len(kept) >= KEPT:
-                            kept.clear()
+                            self.older, self.kept = kept, {}
+                            kept = self.kept
                         kept[chunk] = got
                 out.append(got)
             return b"".join(out)
@@ -282,7 +340,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ids = [encoder.encode(t or "") for t in batch.column(1).slice(start, stop - start).to_pylist()]
                 yield pa.record_batch([batch.column(0).slice(start, stop - start), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, ids binary")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -294,7 +352,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             texts = [encoder.decode(x or b"") for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -322,8 +380,8 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
                 names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"],
             )
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
+    return map_arrow(
+        docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean"
     )
 
 
