@@ -124,6 +124,29 @@ def test_neighbours_across_partitions(spark):
     assert one == many and one[0] == [1] and one[10] == [11] and one[11] == [10]
 
 
+def test_copies_of_unmarked_pages_keep_their_text(spark):
+    story = [f"Sentence {k} of the one long story that stands on several pages." for k in range(8)]
+    page = lambda lines: "<body>" + "".join(f"<p>{x}" for x in ["Home | News", *lines, "All rights reserved"]) + "</body>"
+    other = [f"Quite another text, line {k}." for k in range(6)]
+    rows = [(k, "http://h.org/a", page(story)) for k in range(40)]  # a recrawled page
+    rows += [(50, "http://h.org/a?print", page(["Printed today", *story])), (51, "http://h.org/b", page(other))]
+    rows += [(60, "http://near.org/s/1", page(story)), (61, "http://near.org/s/1/print", page([*story, "p. 1"])), (62, "http://near.org/x", page(other))]
+    rows += [(k, None, page(story)) for k in (70, 71)] + [(80, "http://two.org/", page(story)), (81, "http://two.org/", page(story))]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    assert {got[k] for k in (*range(40), 60)} == {" ".join(story)} and got[50] == " ".join(["Printed today", *story])
+    assert got[61] == " ".join([*story, "p. 1"]) and got[51] == got[62] == " ".join(other)
+    assert all(got[k] == " ".join(["Home | News", *story, "All rights reserved"]) for k in (70, 71, 80, 81))  # nothing different there
+
+
+def test_runs_of_copies_longer_than_a_partition(spark):
+    rows = [(k, "h", "/a", [1, 2, 3]) for k in range(40)] + [(40, "h", "/b", [4, 5, 3]), (41, "i", "/", [6])]
+    df = spark.createDataFrame(rows, "row_id long, host string, path string, digests array<long>")
+    for n in (1, 9):
+        got = {r["row_id"]: r["near"] for r in html_text.nearest_lines(df, n).collect()}
+        assert all(got[k] == [4, 5, 3] for k in range(40)) and got[40] == [1, 2, 3] and got[41] is None
+
+
 # near duplicates
 
 
