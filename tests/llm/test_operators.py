@@ -147,6 +147,31 @@ def test_runs_of_copies_longer_than_a_partition(spark):
         assert all(got[k] == [4, 5, 3] for k in range(40)) and got[40] == [1, 2, 3] and got[41] is None
 
 
+@pytest.mark.parametrize(
+    "wrapper", ["content-sidebar-wrap", "container has-sidebar", "no-sidebar", "related-story main-content", "sidebar", "widget-area", "search-page", "banner"]
+)
+@pytest.mark.parametrize("tag", ["main", "article"])
+def test_names_never_drop_the_main_part(wrapper, tag):
+    page = f"<body class=sidebar><div class='{wrapper}'><{tag}><h1 class='article-header'>Head</h1><p>Body</p><div class=ad>Buy</div></{tag}></div></body>"
+    assert [t for t, main in html_text.blocks_of(page) if main] == ["Head", "Body"]
+
+
+def test_names_that_drop_and_names_that_do_not():
+    lines = lambda inner: [t for t, _ in html_text.blocks_of(f"<body><p>One{inner}<p>Two</body>")]
+    for name in ("ad", "ad-slot", "site-footer", "sidebar_left", "share-buttons", "cookie-notice", "x comments", "comment-list", "main-nav", "sidebar-1"):
+        assert lines(f"<div class='{name}'>gone</div>") == ["One", "Two"], name
+    for name in ("article-header", "page-header", "post-header", "has-sidebar", "content-sidebar-wrap", "ad-free", "research", "nav-enabled story"):
+        assert lines(f"<div class='{name}'>kept</div>") == ["One", "kept", "Two"], name
+
+
+def test_comments_and_teasers_are_not_the_main_part():
+    text = lambda page: [t for t, main in html_text.blocks_of(page) if main]
+    story = "<article><p>Story</p></article>"
+    assert text(story + "<div class=related><article>Teaser</article></div><div id=comments><article>Nice</article></div><article class=comment>Hm</article>") == ["Story"]
+    page = "<div><p>A body of some length, outside any mark.</div><div class=related><article>Teaser</article></div>"
+    assert html_text.blocks_of(page) == [("A body of some length, outside any mark.", False), ("Teaser", False)]
+
+
 # near duplicates
 
 
