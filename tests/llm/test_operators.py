@@ -147,6 +147,13 @@ def test_runs_of_copies_longer_than_a_partition(spark):
         assert all(got[k] == [4, 5, 3] for k in range(40)) and got[40] == [1, 2, 3] and got[41] is None
 
 
+def test_paths_are_told_apart_beyond_512_characters(spark):
+    long = "/" + "x" * 600
+    rows = [(1, "h", long + "a", [1]), (2, "h", long + "b1", [2]), (3, "h", long + "b2", [3])]
+    df = spark.createDataFrame(rows, "row_id long, host string, path string, digests array<long>")
+    assert {r["row_id"]: r["near"] for r in html_text.nearest_lines(df, 1).collect()} == {1: [2], 2: [3], 3: [2]}
+
+
 @pytest.mark.parametrize(
     "wrapper", ["content-sidebar-wrap", "container has-sidebar", "no-sidebar", "related-story main-content", "sidebar", "widget-area", "search-page", "banner"]
 )
