@@ -16,6 +16,14 @@ def cosine(a: str, b: str):
     return dot(x, y) / F.sqrt(dot(x, x) * dot(y, y))
 
 
+def daily_counts(events: DataFrame, condition: str, ts_col: str = "ts") -> DataFrame:
+    """day, n for every day from the first to the last event: how many events meet the condition, 0 where none does."""
+    events = events.withColumn("day", F.to_date(ts_col))
+    days = events.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
+    seen = events.filter(condition).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    return days.join(seen, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def register_queries(r: Registry) -> None:
     r.sql(
         "fn_string",
@@ -73,10 +81,16 @@ def register_queries(r: Registry) -> None:
         SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM d LEFT JOIN u ON CAST(d.day AS DATE) = u.day""",
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "user_id")
-        days = events.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 DAY"))).alias("day"))
-        seen = events.filter("event_type = 'signup' AND user_id % 7 = 0").groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-        return days.join(seen, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
+        return daily_counts(table(spark, sf_dir, "events"), "event_type = 'signup' AND user_id % 7 = 0")
+
+    @r.query(
+        "fn_gap_fill_all",
+        """WITH d AS (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS day FROM events),
+        u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1)
+        SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM d LEFT JOIN u ON CAST(d.day AS DATE) = u.day""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return daily_counts(table(spark, sf_dir, "events"), "event_type = 'signup'")
 
     r.sql(
         "fn_math",

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions.scalars import daily_counts
 from tessera.operators.joins import asof_join, range_join
 from tessera.operators.relational import top_k_per_group
 from tessera.sources.files import apply_renames, list_files, rename_plan, replace_in_names, round_trip
@@ -42,6 +43,23 @@ def test_top_k_with_ties_and_nulls(spark):
     assert sorted(r["id"] for r in got) == [2, 4]
 
 
+def test_daily_counts_fill_gaps_and_leave_out_no_user(spark):
+    on = lambda day: dt.datetime(2024, 2, day, 23, 59)
+    rows = [(u, on(27), "signup") for u in range(1, 7)] + [(7, on(27), "view"), (8, None, "signup"), (9, dt.datetime(2024, 3, 2), "signup")]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_type string")
+    got = [(r["day"].isoformat(), r["n"]) for r in daily_counts(df, "event_type = 'signup'").orderBy("day").collect()]
+    assert got == [("2024-02-27", 6), ("2024-02-28", 0), ("2024-02-29", 0), ("2024-03-01", 0), ("2024-03-02", 1)]
+    assert daily_counts(df.limit(0), "true").count() == 0
+
+
+def test_all_signups_of_the_given_table_are_counted(spark):
+    from tessera.plans.catalog import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'signup'").count()
+    assert REGISTRY.queries["fn_gap_fill_all"](spark, sf).agg(F.sum("n")).first()[0] == want
+
+
 def test_session_gap_edges(spark):
     gap = dt.timedelta(minutes=30)
     rows = [(1, at(0)), (1, at(0) + gap), (2, at(0)), (2, at(0) + gap - dt.timedelta(microseconds=1)), (3, at(0)), (3, at(0) + gap + dt.timedelta(microseconds=1))]
