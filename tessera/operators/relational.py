@@ -16,6 +16,11 @@ def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int) -> Dat
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
 
 
+def placed(df: DataFrame, group: list[str], order: list) -> DataFrame:
+    """Every row with its place in the order of its group, from 1."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def register_queries(r: Registry) -> None:
     @r.query("scan_pruned", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01'")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +76,18 @@ def register_queries(r: Registry) -> None:
         first = table(spark, sf_dir, "orders").orderBy(key.asc_nulls_last(), "o_orderkey").limit(50)
         return first.select("o_orderkey", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "o_orderkey")).alias("place"))
 
+    @r.query(
+        "sort_null_order_all",
+        """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS INT) AS last,
+        CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS INT) AS first FROM orders""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = F.nullif(F.col("o_orderstatus"), F.lit("F"))
+        orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+        last = placed(orders, ["o_custkey"], [key.asc_nulls_last(), "o_orderkey"]).withColumnRenamed("place", "last")
+        first = placed(last, ["o_custkey"], [key.desc_nulls_first(), "o_orderkey"]).withColumnRenamed("place", "first")
+        return first.drop("o_orderstatus")
+
     @r.query("sort_within_partitions", "SELECT o_orderkey, o_custkey FROM orders")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartition("o_custkey").sortWithinPartitions("o_custkey", "o_orderkey")

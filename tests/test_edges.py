@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.scalars import daily_counts
 from tessera.operators.joins import asof_join, range_join
-from tessera.operators.relational import top_k_per_group
+from tessera.operators.relational import placed, top_k_per_group
 from tessera.sources.files import apply_renames, list_files, rename_plan, replace_in_names, round_trip
 from tessera.streaming.windows import run_to_end
 
@@ -60,6 +60,22 @@ def test_all_signups_of_the_given_table_are_counted(spark):
     assert REGISTRY.queries["fn_gap_fill_all"](spark, sf).agg(F.sum("n")).first()[0] == want
 
 
+def test_places_of_null_keys(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "P", 2), ("a", "O", 3), ("b", None, 4), ("a", None, 5)], "g string, k string, id int")
+    last = {r["id"]: r["place"] for r in placed(df, ["g"], [F.asc_nulls_last("k"), "id"]).collect()}
+    first = {r["id"]: r["place"] for r in placed(df, ["g"], [F.desc_nulls_first("k"), "id"]).collect()}
+    assert last == {3: 1, 2: 2, 1: 3, 5: 4, 4: 1} and first == {1: 1, 5: 2, 2: 3, 3: 4, 4: 1}
+
+
+def test_null_order_returns_every_order(spark):
+    from tessera.plans.catalog import REGISTRY
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_orderstatus")
+    got = REGISTRY.queries["sort_null_order_all"](spark, "/root/testdata/sf0.001").join(orders, "o_orderkey")
+    assert got.count() == orders.count()
+    assert got.filter("o_orderstatus = 'F'").count() == orders.filter("o_orderstatus = 'F'").count() > 0
+
+
 def test_session_gap_edges(spark):
     gap = dt.timedelta(minutes=30)
     rows = [(1, at(0)), (1, at(0) + gap), (2, at(0)), (2, at(0) + gap - dt.timedelta(microseconds=1)), (3, at(0)), (3, at(0) + gap + dt.timedelta(microseconds=1))]
