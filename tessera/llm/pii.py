@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -162,58 +163,105 @@ def weak_labels(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
 SMOOTH = 0.1
 
 
+#: What learning needs of documents: how often each (unary: features, label; edges: the two labels) occurs.
+Counts = dict[tuple[int, tuple[int, ...]], int]
+_UNARY, _CHAIN, _SKIP = 0, 1, 2
+
+
+def counted(nodes: list, chain: list, skip: list, labels: list[int], into: Counter) -> None:
+    """Adds one document's counts; their number of keys doesn't grow with the length of the text."""
+    into.update((_UNARY, (*f, y)) for f, y in zip(nodes, labels, strict=True))
+    for what, edges in ((_CHAIN, chain), (_SKIP, skip)):
+        into.update((what, (labels[i], labels[j])) for i, j in edges)
+
+
 def train(examples: list[tuple[list, list, list, list[int]]], steps: int = 300) -> Model:
+    """Learns from nodes, chain edges, skip edges and weak labels of documents; see learn."""
+    counts: Counter = Counter()
+    for example in examples:
+        counted(*example, counts)
+    return learn(counts, steps)
+
+
+def learn(counts: Counts, steps: int = 300) -> Model:
     """Piecewise training: softmax regression for the unary potentials, smoothed log odds for the edges.
 
-    `examples`: nodes, chain edges, skip edges and weak labels of documents. Without any, all potentials
-    are zero, and nothing is ever added.
+    Without any example all potentials are zero, and nothing is ever added.
     """
     n = len(LABELS)
-    rows = [f for nodes, *_ in examples for f in nodes]
+    rows = [(key, c) for (what, key), c in sorted(counts.items()) if what == _UNARY]  # the order of tasks has no say
     unary = np.zeros((N_FEATURES, n))
     if rows:
+        width = len(rows[0][0]) - 1
         x = np.zeros((len(rows), N_FEATURES))
-        x[np.repeat(np.arange(len(rows)), len(rows[0])), np.concatenate(rows)] = 1
-        y = np.eye(n)[np.concatenate([labels for *_, labels in examples if labels]).astype(int)]
+        x[np.repeat(np.arange(len(rows)), width), np.concatenate([key[:-1] for key, _ in rows])] = 1
+        y = np.eye(n)[[key[-1] for key, _ in rows]]
+        weight = np.array([c for _, c in rows], dtype=float)[:, None]
+        weight /= weight.sum()
         for _ in range(steps):
             p = np.exp(x @ unary - (x @ unary).max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            unary -= 1.0 * (x.T @ (p - y) / len(rows) + 1e-4 * unary)
+            unary -= 1.0 * (x.T @ (weight * (p - y)) + 1e-4 * unary)
     pair = []
-    for which in (1, 2):
+    for which in (_CHAIN, _SKIP):
         c = np.full((n, n), SMOOTH)
-        for example in examples:
-            for i, j in example[which]:
-                c[example[3][i], example[3][j]] += 1
+        for (what, key), times in counts.items():
+            if what == which:
+                c[key] += times
         c = c / c.sum()
-        pair.append(np.clip(np.log(c / np.outer(c.sum(1), c.sum(0))), -3, 3) if examples else np.zeros((n, n)))
+        pair.append(np.clip(np.log(c / np.outer(c.sum(1), c.sum(0))), -3, 3) if counts else np.zeros((n, n)))
     return Model(unary, *pair)
 
 
-def marginals(nodes: list[tuple[int, ...]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], clamped: list[int], model: Model, rounds: int = 12) -> np.ndarray:
-    """Label marginals by loopy sum-product message passing; tokens in base spans are clamped to their label."""
+#: Change of a log message from which it is passed on.
+STILL = 1e-4
+#: Rounds without a smaller largest change after which messages count as swinging, and the least part of a change that is then still taken.
+PATIENCE, LEAST_RATE = 100, 1 / 64
+
+
+def marginals(
+    nodes: list[tuple[int, ...]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], clamped: list[int], model: Model, rounds: int | None = None
+) -> np.ndarray:
+    """Label marginals by loopy sum-product message passing; tokens in base spans are clamped to their label.
+
+    Messages are passed until none changes any more (or for `rounds`), however long the chains; a round only
+    works on those that may still change. Half of each change is taken. Where messages swing in a loop and don't
+    settle, ever smaller parts of it are taken, and in the end they are left as they are.
+    """
     own = np.array([model.unary[list(f)].sum(0) for f in nodes])
     for k, label in enumerate(clamped):
         if label:
             own[k] = np.where(np.arange(len(LABELS)) == label, 0.0, -30.0)
-    edges = [(i, j, model.chain) for i, j in chain] + [(i, j, model.skip) for i, j in skip]
+    edges = [(i, j) for i, j in chain] + [(i, j) for i, j in skip]
     if edges:
-        a = np.array([[i, j] for i, j, _ in edges])
+        a, half = np.array(edges), len(edges)
         frm, to = np.concatenate([a[:, 0], a[:, 1]]), np.concatenate([a[:, 1], a[:, 0]])
-        pot = np.array([m for *_, m in edges])
-        pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
-        half, back = len(edges), np.r_[np.arange(len(edges), 2 * len(edges)), np.arange(len(edges))]
+        pots = np.stack([model.chain, model.skip, model.chain.T, model.skip.T])
+        pot = np.concatenate([np.repeat([0, 1], [len(chain), len(skip)]), np.repeat([2, 3], [len(chain), len(skip)])])
+        back = np.r_[np.arange(half, 2 * half), np.arange(half)]
         msg = np.zeros((2 * half, len(LABELS)))
-        for _ in range(rounds):
-            total = own.copy()
-            np.add.at(total, to, msg)
-            inner = (total[frm] - msg[back])[:, :, None] + pot
+        total, at = own.copy(), np.arange(2 * half)
+        rate, least, since, done = 0.5, np.inf, 0, 0
+        while len(at) and rate >= LEAST_RATE and (rounds is None or done < rounds):
+            inner = (total[frm[at]] - msg[back[at]])[:, :, None] + pots[pot[at]]
             top = inner.max(1)
             new = top + np.log(np.exp(inner - top[:, None]).sum(1))
             new -= new.max(1, keepdims=True)
-            step, msg = np.abs(new - msg).max(), 0.5 * msg + 0.5 * new
-            if step < 1e-4:
-                break
+            change = new - msg[at]
+            size = np.abs(change).max(1)
+            moved = at[size >= STILL]
+            msg[at] += rate * change
+            np.add.at(total, to[at], rate * change)
+            touched = np.zeros(len(own), bool)
+            touched[to[moved]] = True
+            again = touched[frm]
+            again[moved] = True
+            at, done, since = np.flatnonzero(again), done + 1, since + 1
+            if size.max() < 0.99 * least:
+                least, since = size.max(), 0
+            elif since >= PATIENCE:
+                rate, since = rate / 2, 0
+        own = own.copy()
         np.add.at(own, to, msg)
     p = np.exp(own - own.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)
@@ -250,34 +298,31 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     return base, sorted([*base, *map(tuple, added)])
 
 
-#: Documents that the field learns from, about: those whose id hashes into a share of the table.
+#: Documents that the field learns from, about: those whose id and text hash into a share of the table.
 TRAIN_DOCS = 4000
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = TRAIN_DOCS) -> Model:
-    """Learns the field from about `bound` documents, labelled by their base spans.
+    """Learns the field from about `bound` documents, whole texts labelled by their base spans.
 
-    Only the numbers of the model's features leave the executors, for at most about `bound` documents.
+    A document counts if its id and text hash into a share of the table; rows that repeat both count together.
+    Only counts leave the executors, so nothing that arrives grows with the number or length of the documents.
     """
     share = max(1, docs.count() // bound)
-    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train")), F.lit(share)) == 0).select(text_col)
+    some = docs.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("train"), F.col(text_col)), F.lit(share)) == 0).select(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for batch in batches:
-            out = []
             for text in batch.column(0).to_pylist():
-                spans = tokens_of(text or "")[:400]  # of a training text, never of a searched one
+                spans = tokens_of(text or "")
                 if spans:
-                    nodes, chain, skip = graph(text, spans)
-                    out.append({"nodes": nodes, "chain": chain, "skip": skip, "labels": weak_labels(spans, base_spans(text))})
-            yield pa.RecordBatch.from_pylist(out, schema=kind)
-
-    pairs = pa.list_(pa.list_(pa.int64()))
-    kind = pa.schema([("nodes", pairs), ("chain", pairs), ("skip", pairs), ("labels", pa.list_(pa.int64()))])
-    ddl = "nodes array<array<long>>, chain array<array<long>>, skip array<array<long>>, labels array<long>"
-    got = map_arrow(some, run, ddl).limit(2 * bound).toArrow().to_pylist()
-    got.sort(key=repr)  # the order of tasks has no say
-    return train([(r["nodes"], r["chain"], r["skip"], r["labels"]) for r in got])
+                    counted(*graph(text, spans), weak_labels(spans, base_spans(text)), counts)
+        yield pa.RecordBatch.from_pylist([{"what": what, "key": list(key), "n": n} for (what, key), n in counts.items()], schema=kind)
+
+    kind = pa.schema([("what", pa.int32()), ("key", pa.list_(pa.int64())), ("n", pa.int64())])
+    got = map_arrow(some, run, "what int, key array<long>, n long").groupBy("what", "key").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    return learn({(r["what"], tuple(r["key"])): r["n"] for r in got})
 
 
 def joined(spans: list[Span]) -> str:

@@ -434,6 +434,27 @@ def test_message_passing_is_exact_on_chains():
     assert np.allclose(got, want / want.sum(1, keepdims=True), atol=1e-3)
 
 
+def test_labels_reach_the_end_of_long_chains_and_loops():
+    n = len(pii.LABELS)
+    skip = 3.0 * np.eye(n) - 3.0 * (1 - np.eye(n))
+    model = pii.Model(np.zeros((pii.N_FEATURES, n)), np.zeros((n, n)), skip)
+    got = pii.marginals([(0,)] * 40, [], [(k, k + 1) for k in range(39)], [2] + [0] * 39, model)[-1]
+    want = np.linalg.matrix_power(np.exp(skip), 39)[2]
+    assert np.allclose(got, want / want.sum(), atol=1e-3) and got.argmax() == 2 and got[2] > 0.6
+    # a loop whose messages may swing still ends
+    swinging = pii.Model(model.unary, -skip, -skip)
+    assert np.isfinite(pii.marginals([(k,) for k in range(5)], [(0, 1), (1, 2), (2, 3), (3, 4)], [(0, 2), (0, 4), (1, 3), (2, 4)], [0] * 5, swinging)).all()
+
+
+def test_the_field_learns_from_whole_texts_whatever_the_ids(spark):
+    texts = [("7 x " * 500) + f"at 10.2.{k}.4 and call +1 (988) 555-24{k:02d} now" for k in range(20)]
+    examples = [(*pii.graph(t, pii.tokens_of(t)), pii.weak_labels(pii.tokens_of(t), pii.base_spans(t))) for t in texts]
+    want = pii.train(examples)
+    for ids in (range(20), [None] * 20, [1] * 20):
+        got = pii.fit(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string"))
+        assert np.allclose(got.unary, want.unary) and np.allclose(got.chain, want.chain) and np.allclose(got.skip, want.skip)
+
+
 def test_personal_data_of_awkward_rows(spark):
     docs = awkward(spark)
     got = pii.find_pii(docs).collect()
