@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import cut, held, look_up, map_arrow, map_groups, slices
 from tessera.session import table
@@ -141,12 +142,17 @@ def joint_estimate(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, n:
     return grid[np.arange(len(grid)), like.argmax(1)]
 
 
+def _fingerprint(s: np.ndarray) -> bytes | None:
+    """128-bit digest of a whole set."""
+    import xxhash
+
+    return xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
+
+
 def sketch_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n (set size), fp (128-bit digest of the whole set), sig (registers) for each row; no text goes further."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for batch in batches:
             sizes, fps, sigs = [], [], []
             for start, stop in slices(batch.column(1), 1 << 20):
@@ -155,7 +161,7 @@ def sketch_table(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Dat
                 rows = iter(sketches(full, rule.registers)) if full else iter(())
                 for s in sets:
                     sizes.append(len(s))
-                    fps.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                    fps.append(_fingerprint(s))
                     sigs.append(next(rows).astype("<u2").tobytes() if len(s) else None)
             yield pa.record_batch(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "fp", "sig"]
@@ -188,20 +194,23 @@ def _likely(pairs: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
-def _sets(docs: DataFrame, ids: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """(rep, set) with the sorted shingle digests of the documents in `ids`, whose texts are read again."""
+def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """(rep, set) with the sorted shingle digests of the classes in `ids`, whose texts are read again by a doc_id of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
             for start, stop in slices(batch.column(1)):
-                sets += [shingles(t, rule.words).tobytes() for t in batch.column(1).slice(start, stop - start).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], names=["rep", "set"])
+                sets += [shingles(t, rule.words) for t in batch.column(1).slice(start, stop - start).to_pylist()]
+            yield pa.record_batch(
+                [pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.large_binary()).cast(pa.binary())], names=["fp", "set"]
+            )
 
-    few = ids.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col))
-    found = texts.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-    return cut(map_arrow(found, run, "rep long, set binary").filter(F.octet_length("set") > 0))
+    wanted = cut(reps.join(ids, "rep", "left_semi").select("doc").distinct())
+    few = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col))
+    found = texts.join(F.broadcast(wanted) if few else wanted, "doc", "left_semi")
+    return cut(map_arrow(found, run, "fp binary, set binary").filter(F.octet_length("set") > 0).select(F.xxhash64("fp").alias("rep"), "set"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -322,25 +331,32 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
 
     # the registers first; full sets travel only for rows that have a likely partner in their chunk
     left = cut(map_groups(rows, ["key", "lc", "mc"], lambda key, t: likely(t), rows.schema))
-    sets = _sets(docs, left.select("rep").distinct(), rule, id_col, text_col)
+    sets = _sets(docs, reps, left.select("rep").distinct(), rule, id_col, text_col)
     return map_groups(left.join(sets, "rep"), ["key", "lc", "mc"], lambda key, t: run(t), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """doc_id, n_shingles, component_id, kept for every row.
 
-    Rows with equal sets form a class (128-bit digest of the whole set), known by its smallest doc_id. Classes
+    Rows with equal sets form a class (128-bit digest of the whole set), known by a hash of that digest. Classes
     that agree on all registers of a band fall into a bucket. First each member is tried against the bucket's
     smallest class, then members that stayed in different components against each other, so that a group
     of any size costs tasks of bounded size and no link is lost. Links are estimated jointly from the registers
     and confirmed on the full sets; component_id is the smallest doc_id of the connected component.
 
     A text without words has an empty set, is its own component and is kept. Rows with a null doc_id get a null
-    component_id unless a row with an id has the same set; they are kept then. Rows that repeat a doc_id are one
-    document. An empty table gives an empty result.
+    component_id unless a row with an id has the same set; they are kept then. Rows that repeat a doc_id with
+    equal sets are one document; those with other sets are judged each by its own. An empty table gives an empty
+    result.
     """
+    return _judged(docs, rule, id_col, text_col).drop("fp")
+
+
+def _judged(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """near_duplicates with the digest of each row's set, fp."""
     rows = cut(sketch_table(docs, rule, id_col, text_col))
-    reps = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
+    reps = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = cut(reps.withColumn("rep", F.xxhash64("fp")))
     width = 2 * rule.rows
     bands = reps.select(
         "rep",
@@ -349,30 +365,58 @@ def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id"
     buckets = cut(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     members = cut(bands.join(buckets, "key"))
     pairs = cut(_likely(members.filter("rep <> hub").select("rep", "hub").distinct(), reps, rule))
-    sets = _sets(docs, pairs.select("rep").union(pairs.select("hub")).distinct(), rule, id_col, text_col)
+    sets = _sets(docs, reps, pairs.select("rep").union(pairs.select("hub")).distinct(), rule, id_col, text_col)
     links = cut(_verified(pairs, sets, rule).select(F.col("rep").alias("a"), F.col("hub").alias("b")))
     labels = cut(components(links))
     more = cut(_open_links(members.select("key", "band", "rep"), labels, reps, docs, rule, id_col, text_col))
     labels = cut(components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more)))
-    classes = cut(reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component")))
+    linked = cut(reps.join(labels.withColumnRenamed("node", "rep"), "rep").select("rep", "label", F.struct("doc", "fp").alias("own")))
+    # the class that stands for a component: the one with the smallest doc_id, then the smallest digest
+    least = look_up(linked, ["label"], lambda rows, hot: rows.groupBy("label").agg(F.min("own").alias("least")), F.col("rep")).select("rep", "least")
+    classes = cut(
+        reps.join(least, "rep", "left").select("fp", F.coalesce("least.doc", "doc").alias("component"), F.coalesce("least.fp", "fp").alias("first"))
+    )
 
     def make(asked: DataFrame, hot: bool) -> DataFrame:
         return classes.join(F.broadcast(asked.select("fp").distinct()), "fp") if hot else classes
 
     found = look_up(rows.select("doc_id", "n", "fp"), ["fp"], make, F.col("doc_id").cast("string").cast("binary"))
-    component = F.coalesce("component", "doc_id")
+    stays = (F.col("doc_id") == F.col("component")) & (F.col("fp") == F.col("first"))
     return found.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.coalesce("component", "doc_id").alias("component_id"),
+        F.when(F.col("doc_id").isNull() | F.col("first").isNull(), True).otherwise(stays).alias("kept"),
+        "fp",
     )
 
 
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
-    """`docs` with one document of each group: the one with the smallest id. Rows without an id stay."""
-    gone = near_duplicates(docs, rule, id_col, text_col).filter("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(cut(gone), id_col, "left_anti").select(*docs.columns)
+    """`docs` with one document of each group: the one with the smallest id. Rows without an id stay.
+
+    Rows go by their id, but where an id has rows of both kinds, by id and set, so that only copies go.
+    """
+    judged = cut(_judged(docs, rule, id_col, text_col).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col), "fp", "kept"))
+    gone = judged.filter("NOT kept").select(id_col).distinct()
+    mixed = cut(gone.join(judged.filter("kept"), id_col, "left_semi"))
+    n = mixed.count()
+    if not n:
+        return docs.join(cut(gone), id_col, "left_anti").select(*docs.columns)
+    part = F.broadcast(mixed) if n <= BROADCAST_ROWS else mixed
+    whole = docs.join(cut(gone.join(mixed, id_col, "left_anti")), id_col, "left_anti").join(part, id_col, "left_anti").select(*docs.columns)
+    some = cut(docs.join(part, id_col, "left_semi").select(*docs.columns))
+    at, name = some.columns.index(text_col), "_tessera_fp"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = []
+            for start, stop in slices(batch.column(at)):
+                fps += [_fingerprint(shingles(t, rule.words)) for t in batch.column(at).slice(start, stop - start).to_pylist()]
+            yield pa.record_batch([*batch.columns, pa.array(fps, pa.binary())], names=[*batch.schema.names, name])
+
+    marked = map_arrow(some, run, T.StructType([*some.schema.fields, T.StructField(name, T.BinaryType())]))
+    copies = judged.filter("NOT kept").select(id_col, F.col("fp").alias(name)).distinct().join(part, id_col, "left_semi")
+    return whole.unionByName(marked.join(cut(copies), [id_col, name], "left_anti").select(*docs.columns))
 
 
 #: The contract's rule for the registered query.

@@ -257,6 +257,17 @@ def test_components_of_a_long_chain(spark):
     assert got == {**dict.fromkeys(range(n), 0), n: n, n + 5: n}
 
 
+def test_a_repeated_id_loses_only_the_row_that_is_a_copy(spark):
+    words = lambda seed: " ".join(f"w{random.Random(seed).randint(0, 9)}{k}x{seed}" for k in range(60))
+    rows = [(3, words(1)), (5, words(1) + " end"), (5, words(2)), (7, words(2) + " end"), (6, words(3)), (6, words(3) + " end"), (5, ""), (None, words(1)), (8, words(4))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in near_dup.drop_near_duplicates(df).collect()]
+    assert len([r for r in got if r[0] == 6]) == 1
+    assert sorted((r for r in got if r[0] != 6), key=repr) == sorted([rows[0], rows[2], rows[6], rows[7], rows[8]], key=repr)
+    of = {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
+    assert {(5, 3, False), (5, 5, True), (7, 5, False), (3, 3, True), (None, 3, True)} <= of
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     got = near_dup.near_duplicates(awkward(spark), near_dup.CONTRACT).collect()
     assert len(got) == len(AWKWARD)
