@@ -28,10 +28,12 @@ NONE = "und"
 
 @dataclass
 class Model:
-    """Languages in order, and per n-gram bucket and language the scaled log probability."""
+    """Languages in order, per n-gram bucket and language the scaled log probability, and for each language the mean
+    log probability of an n-gram of its training texts that the rest of them foretells."""
 
     langs: list[str]
     log_p: np.ndarray  # int32, (len(GRAMS) * BUCKETS, languages)
+    usual: np.ndarray | None = None
 
 
 def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -91,25 +93,48 @@ def _counts(texts: list[str], size: int) -> np.ndarray:
     return total
 
 
-def score(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """The index of the best language (-1: no letter) and its posterior for each text.
+def _totals(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each text the scaled log probability in each language, the number of n-grams, and that of letters.
 
-    A sparse product: each text's n-grams pick rows of the log-probability matrix, which are added up per
-    text. Priors are equal; ties go to the first language.
+    A sparse product: each text's n-grams pick rows of the log-probability matrix, which are added up per text.
     """
-    if not texts:
-        return np.zeros(0, np.int64), np.zeros(0)
     buckets, starts, n_letters = gram_buckets(texts)
     table_ = np.vstack([model.log_p, np.zeros((1, len(model.langs)), np.int32)])  # row -1 adds nothing
-    total = np.zeros((len(texts), len(model.langs)), dtype=np.int64)
+    total, n = np.zeros((len(texts), len(model.langs)), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
     for b in buckets:
+        n += np.add.reduceat((b >= 0).astype(np.int64), starts)
         for k in range(len(model.langs)):
             total[:, k] += np.add.reduceat(table_[b, k].astype(np.int64), starts)
-    best = total.argmax(1)
+    return total, n, n_letters
+
+
+def _best(total: np.ndarray, n_letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     odds = (total - total.max(1, keepdims=True)) / SCALE
     p = 1 / np.exp(np.maximum(odds, -700)).sum(1)
     none = n_letters == 0
-    return np.where(none, -1, best), np.where(none, 0.0, p)
+    return np.where(none, -1, total.argmax(1)), np.where(none, 0.0, p)
+
+
+def score(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """The index of the best language (-1: no letter) and its posterior for each text.
+
+    Priors are equal; ties go to the first language.
+    """
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0)
+    total, _, n_letters = _totals(texts, model)
+    return _best(total, n_letters)
+
+
+def fit_of(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As score, and how far the mean log probability of the text's n-grams in that language is from the usual one (0: like
+    the training texts; the lower, the less any language fits)."""
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+    total, n, n_letters = _totals(texts, model)
+    best, p = _best(total, n_letters)
+    usual = np.zeros(len(model.langs)) if model.usual is None else model.usual
+    return best, p, total.max(1) / SCALE / np.maximum(n, 1) - usual[best]
 
 
 def is_held_out(id_col: str):
@@ -155,11 +180,15 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         counts[counted.column("bucket").to_numpy(), place] += counted.column("n").to_numpy()
     by_length = counts.reshape(len(GRAMS), BUCKETS, -1)
     log_p = np.log(by_length / by_length.sum(1, keepdims=True)).reshape(size, -1)
-    return Model(langs or [NONE], np.round(log_p * SCALE).astype(np.int32))
+    seen = counts - SMOOTH
+    # each n-gram is foretold by all the others, so a small sample doesn't seem to fit better than texts that it lacks
+    others = np.log(np.maximum(by_length - 1, SMOOTH) / (by_length.sum(1, keepdims=True) - 1)).reshape(size, -1)
+    usual = (seen * others).sum(0) / np.maximum(seen.sum(0), 1)
+    return Model(langs or [NONE], np.round(log_p * SCALE).astype(np.int32), usual)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """`docs` with lang_pred and score (0 to 1); only the text is read for it. The matrix is a broadcast of fixed size.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` with lang_pred and score (0 to 1), and given a third name, the fit (see fit_of); only the text is read for it. The matrix is a broadcast of fixed size.
 
     Columns that have those names already are replaced.
 
@@ -172,17 +201,19 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, fits = [], [], []
             for start, stop in slices(batch.column(at), 1 << 19):
                 texts = [t or "" for t in batch.column(at).slice(start, stop - start).to_pylist()]
-                best, p = score(texts, model)
+                best, p, far = fit_of(texts, model)
+                fits += far.tolist()
                 langs += [NONE if b < 0 else model.langs[b] for b in best.tolist()]
                 scores += [0.0 if model.langs == [NONE] else x for x in p.tolist()]
             yield pa.record_batch(
-                [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, *names]
+                [*batch.columns, pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in (scores, fits)[: len(names) - 1])],
+                names=[*batch.schema.names, *names],
             )
 
-    more = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
+    more = [T.StructField(names[0], T.StringType()), *(T.StructField(x, T.DoubleType()) for x in names[1:])]
     return map_arrow(docs, run, T.StructType([*docs.schema.fields, *more]))
 
 
@@ -193,12 +224,17 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, fit(docs)).drop("text")
 
 
-#: Posterior below which the pipeline rejects a document's language.
-LEAST_SCORE = 0.5
+#: Posterior below which the pipeline rejects a document's language. It is near 1 for almost any letters, as it only
+#: compares the languages with each other; so there is a least fit, too: nats an n-gram may be less likely than usual.
+LEAST_SCORE, LEAST_FIT = 0.5, -4.0
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is identified: not `und`, with a score of at least LEAST_SCORE; columns as before."""
-    names = ("_tessera_lang", "_tessera_score")
-    sure = (F.col(names[0]) != NONE) & (F.col(names[1]) >= LEAST_SCORE)
-    return predict(docs, fit(docs), names=names).filter(sure).select(*docs.columns)
+    """The documents whose language is identified: not `und`, with a score of at least LEAST_SCORE and a fit of at least
+    LEAST_FIT; columns as before. If nothing could be learned, no language can be ruled out, and all with a letter stay."""
+    names = ("_tessera_lang", "_tessera_score", "_tessera_fit")
+    model = fit(docs)
+    if model.langs == [NONE]:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    sure = (F.col(names[0]) != NONE) & (F.col(names[1]) >= LEAST_SCORE) & (F.col(names[2]) >= LEAST_FIT)
+    return predict(docs, model, names=names).filter(sure).select(*docs.columns)

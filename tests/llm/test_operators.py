@@ -75,6 +75,24 @@ def test_language_scores_do_not_depend_on_the_batch(texts):
     assert together[0].tolist() == [a[0][0] for a in alone] and together[1].tolist() == [a[1][0] for a in alone]
 
 
+def test_texts_that_no_language_fits_go(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
+    rnd = random.Random(1)
+    strange = [
+        "Это обычный русский текст о погоде и о том, как люди живут в большом городе зимой",
+        "To jest zwykły polski tekst o pogodzie i o tym, jak ludzie żyją w dużym mieście zimą",
+        " ".join("".join(rnd.choice("qwertyuiopasdfghjklzxcvbnm") for _ in range(rnd.randint(2, 9))) for _ in range(20)),
+    ]
+    more = spark.createDataFrame([(-1 - k, t, None, None, len(t)) for k, t in enumerate(strange)], docs.schema)
+    kept = {r["doc_id"] for r in langid.keep_identified(docs.union(more)).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"])}
+
+
+def test_without_languages_all_texts_with_a_letter_stay(spark):
+    docs = awkward(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert langid.keep_identified(docs).count() == sum(any(c.isalpha() for c in r[1] or "") for r in AWKWARD)
+
+
 # main text of pages
 
 
