@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, held, map_arrow, slices
+from tessera.llm.common import cut, map_arrow, slices
 from tessera.session import table
 
 K1, B = 1.2, 0.75
@@ -20,45 +19,90 @@ TOP, EVERY = 10, 100
 #: Bytes of a block of queries, which is broadcast; more queries mean more passes over the documents.
 QUERY_BYTES = 1 << 24
 #: Postings and documents of one index that a task holds at a time, and documents of a block in it.
-SHARD_POSTINGS, SHARD_DOCS, BLOCK = 1_200_000, 8192, 64
+SHARD_POSTINGS, SHARD_DOCS, BLOCK = 2_400_000, 8192, 64
+#: A term that more than one in so many documents of a shard hold has its impacts laid out by document.
+COMMON = 6
+#: Laid-out terms that are added between two looks at what may still reach the threshold.
+STEP = 8
+#: One in so many documents is searched first; its k-th score is where the thresholds of all shards start.
+PILOT = 32
 #: Scores are rounded to this many digits before they are compared; ties go to the smaller doc_id.
 DIGITS = 6
+SLACK = 10.0**-DIGITS
 _EDGES = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACES = b" \t\n\r\x0b\x0c"
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Of each byte value: 0 inside a term, 1 punctuation, 2 white space.
+_KIND = np.array([2 if b in _SPACES else 1 if b in _EDGES else 0 for b in range(256)], np.uint8)
+#: Longest term that the digest table covers, and bytes that are read at a time.
+_WIDTH, _WINDOW = 32, 1 << 20
+_TABLE = np.random.default_rng(20240607).integers(0, 1 << 64, (_WIDTH, 256), dtype=np.uint64)
 
 
-def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct 64-bit digests of the text's terms, and how often each occurs.
+def _digests(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit digests of all terms of `data` in order, and where each begins.
 
-    A term is a run between ASCII white space, A-Z lower-cased, without ASCII punctuation at its ends.
+    The digest of a term is the sum of a random number for each byte at its place, so two terms agree with a
+    probability of 2^-64 whatever they are; long terms go through a hash function.
     """
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    known = held("search")
-    if len(known) > 200_000:
-        known.clear()
-    out = np.empty(len(words), np.uint64)
-    for k, w in enumerate(words):
-        d = known.get(w)
-        if d is None:
-            core = w.strip(_EDGES)
-            d = xxhash.xxh3_64_intdigest(core) | 1 if core else 0  # 0: no term
-            if len(w) <= 40:
-                known[w] = d
-        out[k] = d
-    terms, counts = np.unique(out, return_counts=True)
-    return (terms[1:], counts[1:]) if len(terms) and terms[0] == 0 else (terms, counts)
+    data = data.translate(_LOWER)
+    values = np.frombuffer(data, np.uint8)
+    kind = _KIND[values]
+    core = np.flatnonzero(kind == 0)
+    if not len(core):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    run = np.cumsum(kind == 2, dtype=np.int32)[core]
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    start = core[first]
+    size = core[np.append(first[1:], len(core)) - 1] + 1 - start
+    short = np.minimum(size, _WIDTH)
+    at = np.concatenate([[0], np.cumsum(short)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], short)
+    out = np.add.reduceat(_TABLE[place, values[place + np.repeat(start, short)]], at[:-1])
+    for k in np.flatnonzero(size > _WIDTH).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : start[k] + size[k]])
+    return out, start
+
+
+def _windows(data: bytes) -> Iterator[bytes]:
+    """`data` in parts of about _WINDOW bytes that end at white space."""
+    at = 0
+    while at < len(data):
+        stop = at + _WINDOW
+        while stop < len(data) and data[stop] not in _SPACES:
+            stop += 1
+        yield data[at:stop]
+        at = stop
+
+
+def terms_of(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct 64-bit digests of its terms, and how often each occurs.
+
+    A term is a run between ASCII white space, A-Z lower-cased, without ASCII punctuation at its ends. Long texts
+    are read in windows.
+    """
+    encoded = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if sum(map(len, encoded)) <= 2 * _WINDOW:
+        digests, start = _digests(b" ".join(encoded))
+        ends = np.searchsorted(start, np.cumsum([len(x) + 1 for x in encoded]))
+        parts = [digests[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    else:
+        parts = [np.concatenate([np.zeros(0, np.uint64), *(_digests(w)[0] for w in _windows(x))]) for x in encoded]
+    return [np.unique(p, return_counts=True) for p in parts]
 
 
 @dataclass
 class Queries:
-    """A block of queries: ids, and for each its terms and weights (occurrences times idf)."""
+    """A block of queries: ids, where each one's terms start, the terms' places in the block's list of terms, their
+    weights (occurrences times idf), and a score that the k-th result of each reaches at least."""
 
     ids: list[int]
     starts: np.ndarray
     terms: np.ndarray
     weights: np.ndarray
+    floors: np.ndarray
     mean_length: float
 
     def of(self, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,17 +112,23 @@ class Queries:
 
 @dataclass
 class Shard:
-    """An inverted index of some documents: postings by term, and per term and block the largest impact."""
+    """An inverted index of some documents over numbered terms.
+
+    Documents lie in order of length, in blocks, so that the impacts of a term in a block are alike. A term has its
+    postings (documents and impacts); a common one has its impacts laid out by document, and the largest of each block.
+    """
 
     ids: list = field(default_factory=list)
     lengths: list[int] = field(default_factory=list)
     terms: list[np.ndarray] = field(default_factory=list)
     counts: list[np.ndarray] = field(default_factory=list)
     postings: int = 0
+    scored: int = 0  # postings that searches have added up
+    met: int = 0  # postings of the terms that they asked for
 
-    def add(self, doc_id: int, terms: np.ndarray, counts: np.ndarray) -> None:
+    def add(self, doc_id: int, length: int, terms: np.ndarray, counts: np.ndarray) -> None:
         self.ids.append(doc_id)
-        self.lengths.append(int(counts.sum()))
+        self.lengths.append(length)
         self.terms.append(terms)
         self.counts.append(counts)
         self.postings += len(terms)
@@ -86,91 +136,85 @@ class Shard:
     def full(self) -> bool:
         return self.postings >= SHARD_POSTINGS or len(self.ids) >= SHARD_DOCS
 
-    def build(self, mean_length: float) -> None:
-        doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(t) for t in self.terms])
-        term = np.concatenate(self.terms) if self.terms else np.zeros(0, np.uint64)
-        count = np.concatenate(self.counts).astype(np.float64) if self.counts else np.zeros(0)
-        norm = K1 * (1 - B + B * np.asarray(self.lengths, float) / mean_length)
-        impact = count * (K1 + 1) / (count + norm[doc])
-        order = np.argsort(term, kind="stable")  # by term, then document
-        self.doc, self.impact = doc[order], impact[order]
-        self.names, self.at = np.unique(term[order], return_index=True)
-        self.at = np.append(self.at, len(term))
-        # runs of one term in one block of documents
-        block = self.doc // BLOCK
-        new = np.ones(len(term), bool)
-        new[1:] = block[1:] != block[:-1]
-        new[self.at[:-1]] = True
-        runs = np.flatnonzero(new)
-        self.run_block = block[runs]
-        self.run_max = np.maximum.reduceat(self.impact, runs) if len(runs) else np.zeros(0)
-        self.run_at = np.append(np.searchsorted(runs, self.at[:-1]), len(runs))
-        self.run_start = np.append(runs, len(term))
-        self.blocks = -(-len(self.ids) // BLOCK)
+    def build(self, n_terms: int, mean_length: float) -> None:
+        order = np.argsort(self.lengths, kind="stable")
+        lengths = np.asarray(self.lengths, float)[order]
+        self.ids = [self.ids[k] for k in order.tolist()]
+        terms = [self.terms[k] for k in order.tolist()]
+        n = len(self.ids)
+        doc = np.repeat(np.arange(n), [len(t) for t in terms])
+        term = np.concatenate([np.zeros(0, np.int64), *terms])
+        count = np.concatenate([np.zeros(0), *(self.counts[k] for k in order.tolist())])
+        norm = K1 * (1 - B + B * lengths / mean_length)
+        by_term = np.argsort(term, kind="stable")  # by term, then document
+        self.doc = doc[by_term]
+        count = count[by_term]
+        self.impact = count * (K1 + 1) / (count + norm[self.doc])
+        df = np.bincount(term, minlength=n_terms)
+        self.at = np.concatenate([[0], np.cumsum(df)])
+        common = np.flatnonzero(df * COMMON > n)
+        self.row = np.full(n_terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.blocks = -(-n // BLOCK)
+        self.laid = np.zeros((len(common), self.blocks * BLOCK))
+        for r, t in enumerate(common.tolist()):
+            a, b = self.at[t], self.at[t + 1]
+            self.laid[r, self.doc[a:b]] = self.impact[a:b]
+        self.block_max = self.laid.reshape(len(common), self.blocks, BLOCK).max(2)
         self.terms, self.counts = [], []
 
+    def _laid_at(self, rows: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        return self.laid.reshape(-1).take(rows[:, None] * self.laid.shape[1] + docs[None, :])
+
     def search(self, terms: np.ndarray, weights: np.ndarray, least: float, top: int) -> list[tuple[float, int]]:
         """(score, place) of every document that may be among the `top` with a score of `least` or more.
 
-        The sum of a block's largest impacts bounds its documents' scores. Blocks are scored from the highest
-        bound on, and the search ends at the first whose bound is below the top-th score so far: nothing after
-        it can enter. Terms that the shard lacks cost one look-up.
+        Rare terms come first: their postings are added up. What the common terms can still add to a document of a
+        block is bounded by their largest impacts there. The documents with the highest bounds are scored in full;
+        the k-th of these scores is a threshold, and only documents whose bound reaches it (the pivots) go on. Common
+        terms are added to them a few at a time, from the highest weight on, and after each few those whose new bound
+        falls below the threshold are left.
         """
-        if not len(self.names):
-            return []
-        found = np.searchsorted(self.names, terms)
-        found[found == len(self.names)] = 0
-        here = self.names[found] == terms
-        found, weights = found[here], weights[here]
-        if not len(found):
+        a, b = self.at[terms], self.at[terms + 1]
+        here = b > a
+        if not here.any():
             return []
-        a, b = self.run_at[found], self.run_at[found + 1]
-        runs = _ranges(a, b)
-        w_runs = np.repeat(weights, b - a)
-        bound = np.bincount(self.run_block[runs], weights=self.run_max[runs] * w_runs, minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero((bound >= least) & (bound > 0)))]
-        scores: list[tuple[float, int]] = []
-        heap: list[float] = []
-        wave, at = 8, 0
-        while at < len(order):
-            if len(heap) == top and bound[order[at]] < heap[0]:
-                break
-            chosen = np.zeros(self.blocks, bool)
-            chosen[order[at : at + wave]] = True
-            at, wave = at + wave, wave * 4
-            mine = chosen[self.run_block[runs]]
-            picked, w = runs[mine], w_runs[mine]
-            begin, end = self.run_start[picked], self.run_start[picked + 1]
-            postings = _ranges(begin, end)
-            total = np.bincount(self.doc[postings], weights=self.impact[postings] * np.repeat(w, end - begin), minlength=len(self.ids))
-            limit = max(least, heap[0]) if len(heap) == top else least
-            good = np.flatnonzero((total >= limit) & (total > 0))
-            if len(good) > 4 * top:  # the top-th of these is a limit already; ties stay
-                cutoff = np.partition(total[good], -top)[-top] - 10.0**-DIGITS
-                good = good[total[good] >= cutoff]
-            for k in good.tolist():
-                s = float(total[k])
-                scores.append((s, k))
-                if len(heap) < top:
-                    heapq.heappush(heap, s - 10.0**-DIGITS)
-                elif s - 10.0**-DIGITS > heap[0]:
-                    heapq.heapreplace(heap, s - 10.0**-DIGITS)
-        return scores
-
-
-def _ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All numbers from a[k] up to b[k], for each k in turn."""
-    sizes = b - a
-    if not len(sizes) or not sizes.sum():
-        return np.zeros(0, np.int64)
-    out = np.ones(int(sizes.sum()), np.int64)
-    full = sizes > 0
-    a, sizes = a[full], sizes[full]
-    ends = np.cumsum(sizes)
-    out[0] = a[0]
-    out[ends[:-1]] = a[1:] - (a[:-1] + sizes[:-1] - 1)
-    return np.cumsum(out)
+        terms, weights, a, b = terms[here], weights[here], a[here], b[here]
+        self.met += int((b - a).sum())
+        row = self.row[terms]
+        rare = row < 0
+        n = len(self.ids)
+        if rare.any():
+            sizes = b[rare] - a[rare]
+            ends = np.cumsum(sizes)
+            at = np.arange(ends[-1]) + np.repeat(a[rare] - ends + sizes, sizes)
+            score = np.bincount(self.doc.take(at), weights=self.impact.take(at) * np.repeat(weights[rare], sizes), minlength=self.blocks * BLOCK)
+            self.scored += len(at)
+        else:
+            score = np.zeros(self.blocks * BLOCK)
+        rows, w = row[~rare], weights[~rare]
+        order = np.argsort(-w, kind="stable")
+        rows, w = rows[order], w[order]
+        rest = w @ self.block_max[rows]
+        bound = (score.reshape(-1, BLOCK) + rest[:, None]).reshape(-1)[:n]
+        limit = least
+        if n >= top:
+            best = np.argpartition(bound, n - min(n, 4 * top))[n - min(n, 4 * top) :]
+            known = score[best] + w @ self._laid_at(rows, best)
+            self.scored += len(rows) * len(best)
+            limit = max(limit, float(np.partition(known, -top)[-top]))
+        limit -= SLACK
+        docs = np.flatnonzero((bound >= limit) & (bound > 0))
+        total, block = score[docs], docs // BLOCK
+        for k in range(0, len(rows), STEP):
+            some, weight = rows[k : k + STEP], w[k : k + STEP]
+            total = total + weight @ self._laid_at(some, docs)
+            self.scored += len(some) * len(docs)
+            rest = rest - weight @ self.block_max[some]
+            stay = np.flatnonzero(total + rest.take(block) >= limit)
+            docs, total, block = docs.take(stay), total.take(stay), block.take(stay)
+        good = total > 0
+        return list(zip(total[good].tolist(), docs[good].tolist(), strict=True))
 
 
 def _best(rows: list[tuple[float, int]], top: int) -> list[tuple[float, int]]:
@@ -182,34 +226,40 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
     """query_id, rank, doc_id, score: the `top` documents of highest BM25 score for each row (id, text) of `queries`.
 
     Each task indexes its part of the documents, shard after shard, and searches it for every query with
-    block-max pruning; a query's running top-k carries over from shard to shard as its threshold. Document
-    frequencies, number and mean length come from all documents first, so a score is the same in every shard,
-    and the parts' results merge exactly. Queries go out in blocks of bounded bytes, each block in passes over
-    the documents. Only documents with a common term are results: a query or document without terms has none.
-    Null ids of queries are left out; null texts are empty; repeated rows are rows of their own.
+    block-max pruning; a query's running top-k carries over from shard to shard as its threshold, which starts at
+    the k-th score among one in PILOT documents. Document frequencies, number and mean length come from all
+    documents first, so a score is the same in every shard, and the parts' results merge exactly. Queries go out in
+    blocks of bounded bytes, each block in passes over the documents.
+
+    Only documents with a common term are results: a query or document without terms (null or empty text, an empty
+    table) has none. Null ids of queries are left out; queries that repeat an id and its terms are one query, those
+    that repeat only the id are ranked each by its own. Repeated documents are rows of their own; of equal scores the
+    smaller id is first, null ids last. Long texts are read in windows. Only the two named columns are read, so
+    others may have any names.
     """
     spark = docs.sparkSession
 
     def as_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [terms_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())],
-                names=["id", "terms", "counts"],
-            )
+            for start, stop in slices(batch.column(1), _WINDOW):
+                got = terms_of(batch.column(1).slice(start, stop - start).to_pylist())
+                yield pa.record_batch(
+                    [batch.column(0).slice(start, stop - start), pa.array([t.tobytes() for t, _ in got], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in got], pa.binary())],
+                    names=["id", "terms", "counts"],
+                )
 
     asked = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col)
-    asked = cut(map_arrow(asked, as_terms, "id long, terms binary, counts binary").filter(F.octet_length("terms") > 0))
+    asked = cut(map_arrow(asked, as_terms, "id long, terms binary, counts binary").filter(F.octet_length("terms") > 0).distinct())
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
     results = []
-    for block in _blocks(asked):
-        results.append(_search_block(spark, rows, block, top))
+    for number, block in enumerate(_blocks(asked)):
+        results.append(_search_block(spark, rows, block, top).withColumn("block", F.lit(number)))
     if not results:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     merged = results[0]
     for more in results[1:]:
         merged = merged.unionByName(more)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+    w = Window.partitionBy("block", "query").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "doc_id", "score")
 
 
@@ -227,7 +277,17 @@ def _blocks(asked: DataFrame) -> Iterator[list]:
         yield block
 
 
+def _asked(found: list[tuple[np.ndarray, np.ndarray]], every: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text its length, and of its terms that occur in `every`, the places there and the counts."""
+    for t, c in found:
+        at = np.searchsorted(every, t)
+        at[at == len(every)] = 0
+        hit = every[at] == t
+        yield int(c.sum()), at[hit], c[hit]
+
+
 def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -> DataFrame:
+    """query_id, query (its number in the block), doc_id, score: each task's best."""
     block = sorted(block)
     terms = [np.frombuffer(t, np.uint64) for _, t, _ in block]
     every = np.unique(np.concatenate(terms))
@@ -237,13 +297,13 @@ def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -
         names = wanted.value
         df, n, words = np.zeros(len(names), np.int64), 0, 0
         for batch in batches:
-            for start, stop in slices(batch.column(1)):
-                for text in batch.column(1).slice(start, stop - start).to_pylist():
-                    t, c = terms_of(text)
-                    n, words = n + 1, words + int(c.sum())
-                    at = np.searchsorted(names, t)
-                    at[at == len(names)] = 0
-                    df[at[names[at] == t]] += 1
+            for start, stop in slices(batch.column(1), _WINDOW):
+                found = terms_of(batch.column(1).slice(start, stop - start).to_pylist())
+                places = [np.zeros(0, np.int64)]
+                for length, at, _ in _asked(found, names):
+                    n, words = n + 1, words + length
+                    places.append(at)
+                np.add.at(df, np.concatenate(places), 1)
         seen = np.flatnonzero(df)
         yield pa.record_batch(
             [pa.array([-1, *seen], pa.int64()), pa.array([n, *df[seen]], pa.int64()), pa.array([words, *[0] * len(seen)], pa.int64())], names=["term", "n", "words"]
@@ -252,46 +312,57 @@ def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -
     # as many rows as the block has terms, whatever the number of documents
     counted = map_arrow(rows, count, "term long, n long, words long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).toArrow()
     place, n, words = (counted.column(c).to_numpy() for c in ("term", "n", "words"))
-    wanted.unpersist()
     total = int(n[place == -1].sum())
     mean = max(1.0, float(words[place == -1].sum()) / max(1, total))
     df = np.zeros(len(every))
     df[place[place >= 0]] = n[place >= 0]
     idf = np.log1p((total - df + 0.5) / (df + 0.5))
-    weights = [np.frombuffer(c, "<i4") * idf[np.searchsorted(every, t)] for t, (_, _, c) in zip(terms, block, strict=True)]
+    places = [np.searchsorted(every, t) for t in terms]
+    weights = [np.frombuffer(c, "<i4") * idf[at] for at, (_, _, c) in zip(places, block, strict=True)]
     starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-    sent = spark.sparkContext.broadcast(Queries([q for q, _, _ in block], starts, np.concatenate(terms), np.concatenate(weights), mean))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = sent.value
-        best: list[list[tuple[float, int]]] = [[] for _ in asked.ids]
-
-        def flush(shard: Shard) -> None:
-            shard.build(asked.mean_length)
-            for k in range(len(asked.ids)):
-                least = best[k][-1][0] - 10.0**-DIGITS if len(best[k]) == top else 0.0
-                found = shard.search(*asked.of(k), least, top)
-                if found:
-                    best[k] = _best([*best[k], *((s, shard.ids[d]) for s, d in found)], top)
-
-        shard = Shard()
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for start, stop in slices(batch.column(1)):
-                for k, text in enumerate(batch.column(1).slice(start, stop - start).to_pylist(), start):
-                    t, c = terms_of(text)
-                    if len(t):
-                        shard.add(ids[k], t, c)
-                    if shard.full():
-                        flush(shard)
-                        shard = Shard()
-        if shard.ids:
-            flush(shard)
-        out = [(q, d, s) for q, found in zip(asked.ids, best, strict=True) for s, d in found]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 3
-        yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "doc_id", "score"])
-
-    return map_arrow(rows, search, "query_id long, doc_id long, score double")
+    asked = Queries([q for q, _, _ in block], starts, np.concatenate(places), np.concatenate(weights), np.zeros(len(block)), mean)
+
+    def searched(docs: DataFrame, asked: Queries) -> DataFrame:
+        sent = spark.sparkContext.broadcast(asked)
+
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, names = sent.value, wanted.value
+            best: list[list[tuple[float, int]]] = [[] for _ in asked.ids]
+
+            def flush(shard: Shard) -> None:
+                shard.build(len(names), asked.mean_length)
+                for k in range(len(asked.ids)):
+                    least = max(asked.floors[k], best[k][-1][0] if len(best[k]) == top else 0.0)
+                    found = shard.search(*asked.of(k), least, top)
+                    if found:
+                        best[k] = _best([*best[k], *((s, shard.ids[d]) for s, d in found)], top)
+
+            shard = Shard()
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for start, stop in slices(batch.column(1), _WINDOW):
+                    found = terms_of(batch.column(1).slice(start, stop - start).to_pylist())
+                    for k, (length, at, counts) in enumerate(_asked(found, names), start):
+                        if len(at):
+                            shard.add(ids[k], length, at, counts)
+                        if shard.full():
+                            flush(shard)
+                            shard = Shard()
+            if shard.ids:
+                flush(shard)
+            out = [(q, k, d, s) for k, (q, found) in enumerate(zip(asked.ids, best, strict=True)) for s, d in found if s >= asked.floors[k] - SLACK]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64())
+            yield pa.record_batch([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["query_id", "query", "doc_id", "score"])
+
+        return map_arrow(docs, search, "query_id long, query int, doc_id long, score double")
+
+    # The k-th score among some documents is no more than that among all: a threshold that loses nothing.
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"))
+    some = searched(rows.filter(F.pmod(F.xxhash64(F.col("id")), F.lit(PILOT)) == 0), asked)
+    kth = some.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == top).select("query", "score").toArrow()
+    asked.floors[kth.column("query").to_numpy()] = kth.column("score").to_numpy()
+    return searched(rows, asked)
 
 
 def op6_bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:

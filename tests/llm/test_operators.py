@@ -529,16 +529,68 @@ def test_search_equals_brute_force(spark, texts, monkeypatch):
 
 def test_shard_search_prunes_without_loss():
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        shard = search.Shard()
+    for trial in range(60):
+        shard, n_terms = search.Shard(), 60 if trial % 2 else 600
+        bags = []
         for d in range(300):
-            t = np.unique(rng.integers(1, 60, rng.integers(1, 12)).astype(np.uint64))
-            shard.add(d, t, rng.integers(1, 4, len(t)))
-        shard.build(10.0)
-        terms = np.unique(rng.integers(1, 70, 8).astype(np.uint64))
+            t = np.unique((n_terms * rng.random(rng.integers(1, 30)) ** 3).astype(np.int64))
+            bags.append((t, rng.integers(1, 4, len(t))))
+            shard.add(d, int(bags[-1][1].sum()), *bags[-1])
+        shard.build(n_terms, 10.0)
+        assert len(shard.laid) > 0
+        terms = np.unique(rng.integers(0, n_terms, 12))
         weights = rng.random(len(terms)) * (rng.random(len(terms)) < 0.5) + 0.01
-        every = search._best([(s, d) for s, d in shard.search(terms, weights, 0.0, 10**6)], 10)
-        assert search._best(shard.search(terms, weights, 0.0, 10), 10) == every
+        want = []
+        for d, (t, c) in enumerate(bags):
+            norm = search.K1 * (1 - search.B + search.B * c.sum() / 10.0)
+            s = sum(w * c[t == x][0] * (search.K1 + 1) / (c[t == x][0] + norm) for x, w in zip(terms, weights, strict=True) if (t == x).any())
+            if s > 0:
+                want.append((s, d))
+        want = search._best(want, 10)
+        for least in (0.0, want[-1][0] if len(want) == 10 else 0.0):
+            found = shard.search(terms, weights, least, 10)
+            assert search._best([(s, shard.ids[d]) for s, d in found], 10) == want
+        if len(want) == 10 and shard.search(terms, weights, want[0][0] + 1, 10):
+            raise AssertionError("documents below the threshold came back")
+
+
+def test_search_skips_postings_that_cannot_matter():
+    """With the final threshold, a query's common terms are added up for few documents only."""
+    rng = np.random.default_rng(4)
+    shard = search.Shard()
+    for d in range(4000):
+        common, rare = np.flatnonzero(rng.random(40) < 0.5), 40 + rng.integers(0, 2000, 12)
+        t = np.unique(np.concatenate([common, rare]))
+        shard.add(d, len(t), t, np.ones(len(t), np.int64))
+    shard.build(2040, 30.0)
+    terms = np.concatenate([np.arange(40), 40 + np.arange(30)])
+    weights = np.where(terms < 40, 0.2, 6.0)
+    every = search._best([(s, shard.ids[d]) for s, d in shard.search(terms, weights, 0.0, 4000)], 10)
+    shard.scored = shard.met = 0
+    assert search._best([(s, shard.ids[d]) for s, d in shard.search(terms, weights, every[-1][0], 10)], 10) == every
+    assert shard.scored < 0.25 * shard.met
+
+
+@pytest.mark.parametrize("window", [1 << 20, 40])
+def test_terms_of_texts(texts, window, monkeypatch):
+    monkeypatch.setattr(search, "_WINDOW", window)
+    some = [*list(texts.values())[:30], None, "", " ... ", "'a' A a-b (x) -", "w" * 31, "w" * 32, "w" * 33, "w" * 500, "é É ß日本 \x1f.", " end"]
+    seen = {}
+    for text, (digests, counts) in zip(some, search.terms_of(some), strict=True):
+        words = re.split(r"[ \t\n\r\x0b\x0c]+", (text or "").translate(LOWER))
+        bag = Counter(w for w in (x.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for x in words) if w)
+        assert sorted(bag.values()) == sorted(counts.tolist()) and (np.diff(digests.astype(object)) > 0).all()
+        one = {w: search.terms_of([w])[0][0][0] for w in bag}
+        assert {one[w]: n for w, n in bag.items()} == dict(zip(digests.tolist(), counts.tolist(), strict=True))
+        seen |= one
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_queries_of_one_id_are_ranked_apart(spark):
+    docs = spark.createDataFrame([(k, f"t{k % 3} common") for k in range(9)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "t0"), (1, "t1"), (1, "t0"), (2, "zzz")], "doc_id long, text string")
+    got = sorted((r["query_id"], r["rank"], r["doc_id"]) for r in search.bm25_top(docs, asked).collect())
+    assert got == sorted([*((1, k + 1, 3 * k) for k in range(3)), *((1, k + 1, 3 * k + 1) for k in range(3))])
 
 
 def test_search_of_awkward_rows(spark, monkeypatch):
