@@ -6,7 +6,8 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ SPACE = "▁"
 KEPT, KEPT_CHARS, PAIRS = 300_000, 40, 400_000
 #: How many places the search goes on before it looks for a boundary to commit.
 STRIDE = 64
+#: Characters that are marked and cut into chunks at a time, and ids that are packed at a time.
+SLICE, FLUSH = 1 << 16, 1 << 12
 _CHUNKS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -148,98 +151,86 @@ class Lattice:
                     return False
         return True
 
-    def short(self, text: str) -> list[str]:
-        """The pieces of a text shorter than a stride under merges: the same search, with nothing to commit early."""
-        pairs, lasts, done = self.by_last, [""] * (len(text) + 1), 0
+    def stream(self, text: str) -> Iterator[str]:
+        """The pieces in order, each as soon as it is certain; a character without a piece is a piece of its own."""
+        return self._stream_merges(text) if self.merges else self._stream_sums(text)
+
+    def _stream_merges(self, text: str) -> Iterator[str]:
+        """The search under merges: `lasts` holds for each place of the window the piece that ends there, its backpointer."""
+        if self.n_pairs > PAIRS:
+            self.n_pairs = 0
+            self.by_last.clear()
+        pairs, check, window = self.by_last, self.check, 2 * STRIDE + self.longest
+        base, end, limit = 0, 0, window  # places before `base` are certain, those up to `end` have their backpointer
+        lasts = [""]  # of the places from `base` on
         for at, piece in self.automaton.iter(text):  # at each place the longest piece first
-            end = at + 1
-            if end == done:
+            if at < end:
                 continue
-            while done + 1 < end:  # a character without any piece
-                done += 1
-                lasts[done] = text[done - 1]
-            begin = end - len(piece)
-            last = lasts[begin]
-            if begin and not last:
+            while at > end:  # a character without any piece
+                lasts.append(text[end])
+                end += 1
+            begin = at + 1 - len(piece) - base
+            if begin < 0:  # goes back beyond what is certain
                 continue
-            row = pairs.get(last)
-            if row is None:
-                row = pairs[last] = {}
-            ok = row.get(piece)
-            if ok is None:
+            last = lasts[begin]
+            try:
+                ok = pairs[last][piece]
+            except KeyError:
                 self.n_pairs += 1
-                ok = row[piece] = self.check(last, piece)
+                ok = pairs.setdefault(last, {})[piece] = check(last, piece)
             if ok:
-                lasts[end] = piece
-                done = end
-        while done < len(text):
-            done += 1
-            lasts[done] = text[done - 1]
-        if self.n_pairs > PAIRS:
-            self.n_pairs = 0
-            pairs.clear()
-        out, at = [], len(text)
+                lasts.append(piece)
+                end += 1
+                if end >= limit:
+                    meet = self._meeting(lasts, end - base)
+                    yield from self._path(lasts, meet)
+                    del lasts[:meet]
+                    base, limit = base + meet, end + window
+        lasts += text[end:]
+        yield from self._path(lasts, len(text) - base)
+
+    def _meeting(self, lasts: list[str], done: int) -> int:
+        """The last place through which the paths back from all places that a later piece may start at go."""
+        alive = set(range(max(1, done - self.longest + 1), done + 1))
+        while len(alive) > 1:  # the furthest goes a piece back until all meet
+            far = max(alive)
+            alive.discard(far)
+            alive.add(far - len(lasts[far]))
+        return alive.pop()
+
+    @staticmethod
+    def _path(lasts: list[str], at: int) -> list[str]:
+        """The pieces on the path back from a place to the start of the window, in order."""
+        out = []
         while at:
             out.append(lasts[at])
             at -= len(lasts[at])
         out.reverse()
         return out
 
-    def stream(self, text: str) -> Iterator[str]:
-        """The pieces in order, each as soon as it is certain; a character without a piece is a piece of its own."""
-        base = 0  # committed up to here
-        before = ""  # the last committed piece
-        back: list[int] = [0]  # lengths of the last pieces, for places base + k
-        sums: list[float] = [0.0]
-        n = len(text)
-        for end in range(1, n + 1):
+    def _stream_sums(self, text: str) -> Iterator[str]:
+        """The search for the largest sum of scores."""
+        window = 2 * STRIDE + self.longest
+        base, limit, lasts, sums = 0, window, [""], [0.0]
+        for end in range(1, len(text) + 1):
             # all pieces that end here, shortest first; a character alone always counts as one
-            found, node, at = [], self.ends, end
+            top, piece, node, at = -float("inf"), "", self.ends, end
             while at > base:
                 node = node.get(text[at - 1])
                 if node is None:
                     break
                 at -= 1
-                if None in node:
-                    found.append((end - at, *node[None]))
-            if not found or found[0][0] > 1:
-                found.insert(0, (1, text[end - 1], self.lowest))
-            top, length = -float("inf"), 0
-            if self.merges:
-                for size, piece, _ in reversed(found):
-                    at = end - size - base
-                    if not at:
-                        last = before
-                    elif back[at]:
-                        last = text[base + at - back[at] : base + at]
-                    else:
-                        continue
-                    if self.stays(last, piece):
-                        length = size
-                        break
-            else:
-                for size, _, score in reversed(found):
-                    if sums[end - size - base] + score > top:
-                        top, length = sums[end - size - base] + score, size
-            back.append(length)
+                if None in node and sums[at - base] + node[None][1] >= top:
+                    top, piece = sums[at - base] + node[None][1], node[None][0]
+            if text[end - 1] not in self.scores and sums[end - 1 - base] + self.lowest > top:
+                top, piece = sums[end - 1 - base] + self.lowest, text[end - 1]
+            lasts.append(piece)
             sums.append(top)
-            if (end - base) % STRIDE == 0 or end == n:
-                # the places whose backpointers a later piece may use; at the end only the last
-                alive = {end - base} if end == n else {k for k in range(max(1, end - base - self.longest + 1), end - base + 1) if back[k]}
-                while len(alive) > 1:  # the furthest goes a piece back until all meet
-                    far = max(alive)
-                    alive.discard(far)
-                    alive.add(far - back[far])
-                (meet,) = alive
-                cuts, at = [], meet
-                while at > 0:
-                    cuts.append(at)
-                    at -= back[at]
-                for at in reversed(cuts):
-                    before = text[base + at - back[at] : base + at]
-                    yield before
-                if meet:
-                    back, sums, base = [0, *back[meet + 1 :]], [s - sums[meet] for s in sums[meet:]], base + meet
+            if end >= limit:
+                meet = self._meeting(lasts, end - base)
+                yield from self._path(lasts, meet)
+                base, limit, lasts, sums = base + meet, end + window, lasts[meet:], [x - sums[meet] for x in sums[meet:]]
+        yield from self._path(lasts, len(text) - base)
 
 
 class Encoder:
@@ -261,73 +252,110 @@ class Encoder:
         self.ids = {self.pieces[k]: k for k in plain}
         self.byte_ids = {int(self.pieces[k][3:5], 16): k for k in range(size) if lib.is_byte(k)}
         self.byte_of = {k: b for b, k in self.byte_ids.items()}
-        self.silent = {k for k in range(size) if lib.is_control(k)}
+        self.is_byte = np.isin(np.arange(size), list(self.byte_of))
         self.unknown, self.prefix = lib.unk_id(), spec.normalizer_spec.add_dummy_prefix
+        self.text_of = ["" if lib.is_control(k) else " ⁇ " if k == self.unknown else self.pieces[k] for k in range(size)]
         self.lattice = Lattice({p: lib.get_score(k) for p, k in self.ids.items()}, spec.trainer_spec.model_type == 2)
-        # where no piece goes on after a space sign, every path has a boundary before it: chunks stand alone
         self.chunked = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the generation before
 
-    def _chunk(self, chunk: str) -> bytes:
-        out: list[int] = []
-        lattice = self.lattice
-        for piece in lattice.short(chunk) if lattice.merges and len(chunk) < STRIDE else lattice.stream(chunk):
-            k = self.ids.get(piece)
-            if k is not None:
-                out.append(k)
-            elif self.byte_ids:
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "surrogatepass")]
+    def _chunk(self, chunk: str) -> Iterator[bytes]:
+        """The ids of a chunk, as the search commits them."""
+        stream = self.lattice.stream(chunk)
+        while some := list(islice(stream, FLUSH)):
+            out = list(map(self.ids.get, some))
+            if None in out:
+                out = [x for k, piece in zip(out, some, strict=True) for x in ((k,) if k is not None else self._without_piece(piece))]
+            yield struct.pack(f"<{len(out)}I", *out)
+
+    def _without_piece(self, text: str) -> list[int]:
+        """Ids of a character that is no piece: its bytes, if the vocabulary has them."""
+        return [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")] if self.byte_ids else [self.unknown]
+
+    def _parts(self, text: str) -> Iterator[str]:
+        """The text with its spaces marked, in parts of about SLICE characters that end where a boundary is certain."""
+        at = 0
+        while at < len(text):
+            stop = at + SLICE
+            if stop < len(text) and self.chunked:
+                while stop < len(text) and not (text[stop] in (" ", SPACE) and text[stop - 1] not in (" ", SPACE)):
+                    stop += 1
             else:
-                out.append(self.unknown)
-        return struct.pack(f"<{len(out)}I", *out)
+                stop = len(text)
+            yield (SPACE if self.prefix and not at else "") + text[at:stop].replace(" ", SPACE)
+            at = stop
 
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-        if not self.chunked:
-            return self._chunk(marked)
-        chunks, kept = _CHUNKS.findall(marked), self.kept
-        try:
-            return b"".join(map(kept.__getitem__, chunks))
-        except KeyError:
-            out = []
+    def encode_parts(self, text: str) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of `text`, in parts whose size doesn't grow with it.
+
+        Where no piece goes on after a space sign, all paths of the search meet before one: what lies between two
+        such places is searched alone, and its ids, once certain, are kept for the next time.
+        """
+        for part in self._parts(text):
+            if not self.chunked:
+                yield from self._chunk(part)
+                continue
+            chunks, kept, out = _CHUNKS.findall(part), self.kept, []
+            try:
+                yield b"".join(map(kept.__getitem__, chunks))
+                continue
+            except KeyError:
+                pass
             for chunk in chunks:
                 got = kept.get(chunk)
                 if got is None:
                     got = self.older.get(chunk)
                     if got is None:
-                        got = self._chunk(chunk)
-                    if len(chunk) <= KEPT_CHARS:
-                        if len(kept) >= KEPT:
-                            self.older, self.kept = kept, {}
-                            kept = self.kept
-                        kept[chunk] = got
+                        if len(chunk) > KEPT_CHARS:
+                            yield b"".join(out)
+                            out.clear()
+                            yield from self._chunk(chunk)
+                            continue
+                        got = b"".join(self._chunk(chunk))
+                    if len(kept) >= KEPT:
+                        self.older, self.kept = kept, {}
+                        kept = self.kept
+                    kept[chunk] = got
                 out.append(got)
-            return b"".join(out)
+            yield b"".join(out)
 
-    def decode(self, ids: bytes) -> str:
-        """The text of ids: byte pieces are joined as UTF-8, control pieces are silent, the added space is taken off."""
-        out: list[str] = []
-        run = bytearray()
-        for k in np.frombuffer(ids, "<u4").tolist():
-            b = self.byte_of.get(k)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if k == self.unknown:
-                out.append(" ⁇ ")
-            elif k not in self.silent:
-                out.append(self.pieces[k])
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        return b"".join(self.encode_parts(text))
+
+    def decode_parts(self, parts: Iterable[bytes]) -> Iterator[str]:
+        """The text of ids that come in parts: byte pieces are joined as UTF-8, control pieces are silent, the added space is taken off."""
+        run, first = bytearray(), self.prefix
+        for part in parts:
+            ids, out, at = np.frombuffer(part, "<u4"), [], 0
+            known = ids.tolist()
+            for k in [*np.flatnonzero(self.is_byte[ids]).tolist(), len(known)]:
+                if k > at:
+                    if run:
+                        out.append(run.decode("utf-8", "replace"))
+                        run.clear()
+                    out += map(self.text_of.__getitem__, known[at:k])
+                if k < len(known):
+                    run.append(self.byte_of[known[k]])
+                at = k + 1
+            if len(run) > FLUSH:  # all but a character that may still go on
+                whole = len(run)
+                while whole > len(run) - 4 and run[whole - 1] & 0xC0 == 0x80:
+                    whole -= 1
+                whole -= 1 if run[whole - 1] >= 0xC0 else 0
+                out.append(bytes(run[:whole]).decode("utf-8", "replace"))
+                del run[:whole]
+            text = "".join(out).replace(SPACE, " ")
+            if text:
+                yield text[1:] if first and text.startswith(" ") else text
+                first = False
         if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+            yield run.decode("utf-8", "replace")
+
+    def decode(self, ids: bytes) -> str:
+        """The text of ids."""
+        return "".join(self.decode_parts([ids]))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -355,12 +383,39 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), run, "doc_id long, text string")
 
 
+def there_and_back(encoder: Encoder, text: str) -> tuple[int, int, str, bool]:
+    """The number of ids, their crc32, the sha256 of the decoded text and whether it equals `text`; part by part."""
+    n, crc, digest, at, same = 0, 0, hashlib.sha256(), 0, True
+
+    def ids() -> Iterator[bytes]:
+        nonlocal n, crc
+        held_, size = [], 0
+        for part in encoder.encode_parts(text):
+            held_.append(part)
+            size += len(part)
+            if size >= 4 * FLUSH:
+                whole = b"".join(held_)
+                n, crc = n + size // 4, zlib.crc32(whole, crc)
+                held_, size = [], 0
+                yield whole
+        whole = b"".join(held_)
+        n, crc = n + size // 4, zlib.crc32(whole, crc)
+        yield whole
+
+    for back in encoder.decode_parts(ids()):
+        digest.update(back.encode("utf-8", "surrogatepass"))
+        same = same and text.startswith(back, at)
+        at += len(back)
+    return n, crc, digest.hexdigest(), same and at == len(text)
+
+
 def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, round_trip for every row, in one pass over the texts.
 
     round_trip says whether the decoded text equals the text (a text that holds the space sign itself comes
     back with spaces, as with the library). Null text is empty; empty tables, repeated rows, null ids and extra
-    columns are fine; a long text needs memory for its own ids only, as the search window is bounded.
+    columns are fine, whatever their names. Texts go through in parts: search window, ids and decoded text of a long
+    text are never held as a whole.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +424,9 @@ def encode_and_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             n, crc, sha, same = [], [], [], []
             for start, stop in slices(batch.column(1)):
                 for text in batch.column(1).slice(start, stop - start).to_pylist():
-                    ids = encoder.encode(text or "")
-                    back = encoder.decode(ids)
-                    n.append(len(ids) // 4)
-                    crc.append(zlib.crc32(ids))
-                    sha.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    same.append(back == (text or ""))
+                    row = there_and_back(encoder, text or "")
+                    for column, value in zip((n, crc, sha, same), row, strict=True):
+                        column.append(value)
             yield pa.record_batch(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(sha, pa.string()), pa.array(same, pa.bool_())],
                 names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"],

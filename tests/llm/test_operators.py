@@ -709,6 +709,61 @@ def test_the_stream_commits_before_the_text_ends():
     assert [next(stream) for _ in range(3)] == ["▁the"] * 3
 
 
+def test_every_chunk_goes_through_the_stream(texts, monkeypatch):
+    own, asked, n = pieces.Encoder(PIECE), [], 0
+    stream = own.lattice.stream
+    monkeypatch.setattr(own.lattice, "stream", lambda t: asked.append(t) or stream(t))
+    for t in list(texts.values())[:20]:
+        own.encode(t)
+        n += len(set(pieces._CHUNKS.findall("▁" + t.replace(" ", "▁"))) - set(asked))
+    assert n == 0 and asked
+
+
+def test_long_texts_go_through_in_parts(monkeypatch):
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.Encoder(PIECE)
+    monkeypatch.setattr(pieces, "SLICE", 37)
+    monkeypatch.setattr(pieces, "FLUSH", 11)
+    rnd = random.Random(11)
+    for t in [*awkward_strings(300, [*"abcde   ▁日本🙂é", "the ", "  "], 5), "日🙂" * 300, "".join(rnd.choice("abcdeinrst") for _ in range(3000)), " " * 500]:
+        ids = lib.encode(t)
+        whole = np.asarray(ids, "<u4").tobytes()
+        back = lib.decode(ids)
+        assert own.encode(t) == whole and own.decode(whole) == back
+        assert pieces.there_and_back(own, t) == (len(ids), zlib.crc32(whole), hashlib.sha256(back.encode()).hexdigest(), back == t)
+
+
+def test_a_long_text_needs_little_memory_beyond_itself():
+    code = f"""
+import resource, sys
+sys.path[:0] = {[p for p in __import__("sys").path if p]!r}
+from tessera.llm import pieces
+own = pieces.Encoder({PIECE!r})
+text = "many common words of a long text " * 600_000
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n, _, _, same = pieces.there_and_back(own, text)
+assert same and n > 4_000_000
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=600)
+    assert int(out.stdout) < 60
+
+
+def test_pieces_query_equals_the_library(spark, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    for r in catalog.QUERIES["op9_pieces"](spark, SF).collect():
+        ids = lib.encode(texts[r["doc_id"]])
+        back = lib.decode(ids)
+        assert (r["n_ids"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()))
+        assert (r["decoded_sha256"], r["round_trip"]) == (hashlib.sha256(back.encode()).hexdigest(), back == texts[r["doc_id"]])
+
+
 def test_pieces_of_awkward_rows(spark):
     docs = awkward(spark)
     got = pieces.encode_and_decode(docs, PIECE).collect()
