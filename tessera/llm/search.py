@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,8 +25,8 @@ SHARD_POSTINGS, SHARD_DOCS, BLOCK = 2_400_000, 8192, 64
 COMMON = 6
 #: Laid-out terms that are added between two looks at what may still reach the threshold.
 STEP = 8
-#: One in so many documents is searched first; its k-th score is where the thresholds of all shards start.
-PILOT = 32
+#: One in so many documents is searched before the others; the k-th score among them is where thresholds start.
+PILOT = 8
 #: Scores are rounded to this many digits before they are compared; ties go to the smaller doc_id.
 DIGITS = 6
 SLACK = 10.0**-DIGITS
@@ -227,7 +228,7 @@ def bm25_top(docs: DataFrame, queries: DataFrame, top: int = TOP, id_col: str =
 
     Each task indexes its part of the documents, shard after shard, and searches it for every query with
     block-max pruning; a query's running top-k carries over from shard to shard as its threshold, which starts at
-    the k-th score among one in PILOT documents. Document frequencies, number and mean length come from all
+    the k-th score among samples of the documents, smallest first. Document frequencies, number and mean length come from all
     documents first, so a score is the same in every shard, and the parts' results merge exactly. Queries go out in
     blocks of bounded bytes, each block in passes over the documents.
 
@@ -357,11 +358,15 @@ def _search_block(spark: SparkSession, rows: DataFrame, block: list, top: int) -
 
         return map_arrow(docs, search, "query_id long, query int, doc_id long, score double")
 
-    # The k-th score among some documents is no more than that among all: a threshold that loses nothing.
+    # The k-th score among some documents is no more than that among all: a threshold that loses nothing. Each
+    # sample's threshold lets only a few documents a query out of the tasks of the next, PILOT times as large.
     by_query = Window.partitionBy("query").orderBy(F.desc("score"))
-    some = searched(rows.filter(F.pmod(F.xxhash64(F.col("id")), F.lit(PILOT)) == 0), asked)
-    kth = some.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == top).select("query", "score").toArrow()
-    asked.floors[kth.column("query").to_numpy()] = kth.column("score").to_numpy()
+    levels = int(math.log(max(1.0, total / SHARD_DOCS), PILOT)) if total else 0
+    for share in (PILOT**level for level in range(levels, 0, -1)):
+        some = rows.filter(F.pmod(F.xxhash64(F.col("id")), F.lit(share)) == 0).repartition(-(-total // share // SHARD_DOCS))
+        kth = searched(some, asked).withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") == top).select("query", "score").toArrow()
+        at = kth.column("query").to_numpy()
+        asked.floors[at] = np.maximum(asked.floors[at], kth.column("score").to_numpy())
     return searched(rows, asked)
 
 
