@@ -90,14 +90,35 @@ def tokens_of(text: str) -> list[tuple[int, int]]:
 _EDGE = " \t\n.,;:!?\"'<>[]{}"
 
 
-def features(token: str, near: bool) -> tuple[int, ...]:
-    """Indices of the token's features: all are shapes, none is a word, so the set is fixed (N_FEATURES)."""
+def _digits(text: str) -> str:
+    return "".join(c for c in text if "0" <= c <= "9")
+
+
+def _check(digits: str) -> int:
+    """0: no length of a card number, 1: a card number by its check sum, 2: of that length but no card number."""
+    return 0 if not 13 <= len(digits) <= 19 else 1 if luhn(digits) else 2
+
+
+def _parts(core: str) -> int:
+    """0: not four numbers with points between, 1: four of at most 255, 2: four of which one is larger."""
+    parts = core.split(".", 4)
+    if len(parts) != 4 or not all(p and len(p) < 20 and p.isascii() and p.isdigit() for p in parts):
+        return 0
+    return 1 if all(int(p) <= 255 for p in parts) else 2
+
+
+def features(token: str, near: bool, run: int = 0) -> tuple[int, ...]:
+    """Indices of the token's features: all are shapes, none is a word, so the set is fixed (N_FEATURES).
+
+    `run` is the check of all digits of the token and those beside it; it and the token's own checks keep apart what
+    the fixed patterns match and then reject.
+    """
     core = token.strip(_EDGE)
-    digits, letters = sum("0" <= c <= "9" for c in core), sum(c.isalpha() for c in core)
+    digits, letters = _digits(core), sum(c.isalpha() for c in core)
     groups = len(re.findall(r"[0-9]+", core)) if len(core) <= 64 else 9
     return (
         0,
-        1 + min(digits, 20),
+        1 + min(len(digits), 20),
         22 + min(letters, 5),
         28 + min(core.count("."), 4),
         33 + min(core.count("-"), 3),
@@ -107,43 +128,79 @@ def features(token: str, near: bool) -> tuple[int, ...]:
         47 + min(groups, 5),
         53 + near,
         55 + ("=" in token) + 2 * ('"' in token),
+        59 + _check(digits),
+        62 + _parts(core),
+        65 + run,
     )
 
 
-N_FEATURES = 59
+N_FEATURES = 68
 
 
 def key_of(token: str) -> str:
-    """Tokens with the same key are similar: equal digits, or without digits enough, equal lower-case text."""
-    digits = "".join(c for c in token if "0" <= c <= "9")
+    """Tokens with the same key are repeats: equal digits, or without digits enough, equal lower-case text."""
+    digits = _digits(token)
     return digits if len(digits) >= 4 else token.strip(_EDGE).lower()
 
 
+def similar_keys(token: str) -> list[tuple]:
+    """Tokens that share one of these keys are similar: addresses of one name or one domain, numbers with the same last
+    seven digits, and numbers of 6 to 19 digits that differ in one."""
+    core = token.strip(_EDGE).lower()
+    name, at, domain = core.partition("@")
+    if at:
+        return [("name", name)] * bool(name) + [("domain", domain)] * bool(domain)
+    digits = _digits(core)
+    keys: list[tuple] = [("end", digits[-7:])] if len(digits) >= 7 else []
+    if 6 <= len(digits) <= 19:
+        keys += [(len(digits), k, digits[:k] + digits[k + 1 :]) for k in range(len(digits))]
+    return keys
+
+
 @dataclass
 class Model:
-    """Log potentials: unary (features x labels), chain and skip (labels x labels)."""
+    """Log potentials: unary (features x labels), chain, skip (repeats) and similar (labels x labels)."""
 
     unary: np.ndarray
     chain: np.ndarray
     skip: np.ndarray
+    similar: np.ndarray
+
 
+Edges = list[tuple[int, int]]
 
-def graph(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, ...]], list[tuple[int, int]], list[tuple[int, int]]]:
-    """Features of each node, chain edges (tokens with at most a space between) and skip edges.
 
-    A skip edge joins a token with the next one of equal key, however far; linear in the number of tokens.
+def graph(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, ...]], Edges, Edges, Edges]:
+    """Features of each node, chain edges (tokens with at most a space between), skip edges and similar edges.
+
+    A skip edge joins a token with the last one of equal key before it, however far, a similar edge with the last one
+    that is similar but no repeat; their number is linear in that of the tokens.
     """
     near = [k > 0 and spans[k][0] - spans[k - 1][1] <= 1 for k in range(len(spans))]
-    nodes = [features(text[a:b], near[k] or (k + 1 < len(spans) and near[k + 1])) for k, (a, b) in enumerate(spans)]
+    runs, at = [0] * len(spans), 0
+    while at < len(spans):
+        stop = at + 1
+        while stop < len(spans) and near[stop]:
+            stop += 1
+        check = _check(_digits(text[spans[at][0] : min(spans[stop - 1][1], spans[at][0] + 200)]))
+        runs[at:stop] = [check] * (stop - at)
+        at = stop
+    nodes = [features(text[a:b], near[k] or (k + 1 < len(spans) and near[k + 1]), runs[k]) for k, (a, b) in enumerate(spans)]
     chain = [(k - 1, k) for k in range(len(spans)) if near[k]]
-    seen: dict[str, int] = {}
-    skip = []
+    seen: dict = {}
+    skip, similar = [], []
     for k, (a, b) in enumerate(spans):
         key = key_of(text[a:b])
-        if key in seen and not (near[k] and seen[key] == k - 1):
-            skip.append((seen[key], k))
+        last = seen.get(key)
+        if last is not None and not (near[k] and last == k - 1):
+            skip.append((last, k))
         seen[key] = k
-    return nodes, chain, skip
+        keys = similar_keys(text[a:b])
+        like = max((j for j in map(seen.get, keys) if j is not None and j != last), default=None)
+        if like is not None and not (near[k] and like == k - 1):
+            similar.append((like, k))
+        seen.update(dict.fromkeys(keys, k))
+    return nodes, chain, skip, similar
 
 
 def weak_labels(spans: list[tuple[int, int]], base: list[Span]) -> list[int]:
@@ -165,18 +222,18 @@ SMOOTH = 0.1
 
 #: What learning needs of documents: how often each (unary: features, label; edges: the two labels) occurs.
 Counts = dict[tuple[int, tuple[int, ...]], int]
-_UNARY, _CHAIN, _SKIP = 0, 1, 2
+_UNARY, _CHAIN, _SKIP, _SIMILAR = 0, 1, 2, 3
 
 
-def counted(nodes: list, chain: list, skip: list, labels: list[int], into: Counter) -> None:
+def counted(nodes: list, chain: Edges, skip: Edges, similar: Edges, labels: list[int], into: Counter) -> None:
     """Adds one document's counts; their number of keys doesn't grow with the length of the text."""
     into.update((_UNARY, (*f, y)) for f, y in zip(nodes, labels, strict=True))
-    for what, edges in ((_CHAIN, chain), (_SKIP, skip)):
+    for what, edges in ((_CHAIN, chain), (_SKIP, skip), (_SIMILAR, similar)):
         into.update((what, (labels[i], labels[j])) for i, j in edges)
 
 
-def train(examples: list[tuple[list, list, list, list[int]]], steps: int = 300) -> Model:
-    """Learns from nodes, chain edges, skip edges and weak labels of documents; see learn."""
+def train(examples: list[tuple[list, Edges, Edges, Edges, list[int]]], steps: int = 300) -> Model:
+    """Learns from nodes, the three kinds of edges and weak labels of documents; see learn."""
     counts: Counter = Counter()
     for example in examples:
         counted(*example, counts)
@@ -203,7 +260,7 @@ def learn(counts: Counts, steps: int = 300) -> Model:
             p /= p.sum(1, keepdims=True)
             unary -= 1.0 * (x.T @ (weight * (p - y)) + 1e-4 * unary)
     pair = []
-    for which in (_CHAIN, _SKIP):
+    for which in (_CHAIN, _SKIP, _SIMILAR):
         c = np.full((n, n), SMOOTH)
         for (what, key), times in counts.items():
             if what == which:
@@ -219,9 +276,7 @@ STILL = 1e-4
 PATIENCE, LEAST_RATE = 100, 1 / 64
 
 
-def marginals(
-    nodes: list[tuple[int, ...]], chain: list[tuple[int, int]], skip: list[tuple[int, int]], clamped: list[int], model: Model, rounds: int | None = None
-) -> np.ndarray:
+def marginals(nodes: list[tuple[int, ...]], chain: Edges, skip: Edges, similar: Edges, clamped: list[int], model: Model, rounds: int | None = None) -> np.ndarray:
     """Label marginals by loopy sum-product message passing; tokens in base spans are clamped to their label.
 
     Messages are passed until none changes any more (or for `rounds`), however long the chains; a round only
@@ -232,12 +287,13 @@ def marginals(
     for k, label in enumerate(clamped):
         if label:
             own[k] = np.where(np.arange(len(LABELS)) == label, 0.0, -30.0)
-    edges = [(i, j) for i, j in chain] + [(i, j) for i, j in skip]
+    edges = [*chain, *skip, *similar]
     if edges:
         a, half = np.array(edges), len(edges)
         frm, to = np.concatenate([a[:, 0], a[:, 1]]), np.concatenate([a[:, 1], a[:, 0]])
-        pots = np.stack([model.chain, model.skip, model.chain.T, model.skip.T])
-        pot = np.concatenate([np.repeat([0, 1], [len(chain), len(skip)]), np.repeat([2, 3], [len(chain), len(skip)])])
+        pots = np.stack([model.chain, model.skip, model.similar, model.chain.T, model.skip.T, model.similar.T])
+        kinds = np.repeat([0, 1, 2], [len(chain), len(skip), len(similar)])
+        pot = np.concatenate([kinds, kinds + 3])
         back = np.r_[np.arange(half, 2 * half), np.arange(half)]
         msg = np.zeros((2 * half, len(LABELS)))
         total, at = own.copy(), np.arange(2 * half)
@@ -280,8 +336,7 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     labels = weak_labels(spans, base)
     if all(labels):
         return base, base
-    nodes, chain, skip = graph(text, spans)
-    p = marginals(nodes, chain, skip, labels, model)
+    p = marginals(*graph(text, spans), labels, model)
     added: list[list[int]] = []
     for k, (a, b) in enumerate(spans):
         kind = int(p[k].argmax()) - 1
@@ -368,7 +423,11 @@ def redacted(text: str, spans: list[Span]) -> str:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
-    """`docs` with personal data replaced in the text, and the length column, if there, brought up to date."""
+    """`docs` with personal data replaced in the text, and the length column, if there, brought up to date.
+
+    A null text stays null (so does its length), an empty one empty; repeated rows, null ids and other columns, whatever
+    their names, stay as they are; whole texts are searched in linear time; an empty table gives an empty one.
+    """
     model = fit(docs, id_col, text_col)
     at = docs.columns.index(text_col)
     n_at = docs.columns.index(length_col) if length_col in docs.columns else None
