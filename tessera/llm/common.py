@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import string
 import tempfile
 import uuid
@@ -10,10 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of its own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may do without; it gets a
+    folder of its own, as its executors are threads of the driver."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -23,9 +31,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes `df` as Parquet below the shared folder and reads it back: no lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append((df.sparkSession, path))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_intermediates() -> None:
+    """Deletes the tables that `cut` wrote. Results that still read them must be written before; runs when the driver ends."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            jvm = spark.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # the session has ended; what it can't reach any more stays
+            return
+
+
+atexit.register(remove_intermediates)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """`name`, or if columns have it already, that with more underscores in front; case counts for nothing."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the byte-wise path, other text is translated."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -101,6 +133,7 @@ def held(owner: str) -> dict:
 
 
 def _bounded(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches, if it is larger; it is read when the plan runs, so it stays lowered."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key)
     if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
@@ -135,6 +168,6 @@ def map_arrow(df: DataFrame, run, schema) -> DataFrame:
 
 
 def map_groups(df: DataFrame, keys: list[str], run, schema) -> DataFrame:
-    """df.groupBy(keys).applyInArrow under the same rules; `run` takes the key and the group's table."""
+    """df.groupBy(keys).applyInArrow with batches of bounded bytes; `run` takes the key and the group's table."""
     _bounded(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(lambda key, t: run(key, t), schema)

@@ -109,7 +109,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of `docs` that stay, all columns.
 
     Rows are found again by their id and the digest of their normalised text, never by their place in a scan,
-    which may change when executors come and go. Of rows that repeat an id and a text the smallest stays.
+    which may change when executors come and go. Of rows that repeat an id and a text the one whose JSON is smallest
+    stays. Null text counts as empty, a null id as the smallest; texts of any length and other columns of any name and
+    type are fine; an empty table gives an empty one.
     """
     found = cut(exact_duplicates(docs, id_col, text_col))
     keys = ["_tessera_id", "_tessera_sha"]
@@ -127,8 +129,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once = stays.join(repeated, stays[keys[0]].eqNullSafe(repeated[keys[0]]) & (stays[keys[1]] == repeated[keys[1]]), "left_anti")
     again = stays.join(repeated, stays[keys[0]].eqNullSafe(repeated[keys[0]]) & (stays[keys[1]] == repeated[keys[1]]), "left_semi")
     single = marked.join(once, at(once), "left_semi").drop(*keys)
-    least = marked.join(again, at(again), "left_semi").groupBy(*keys).agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return single.unionByName(least.select("row.*"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    least = marked.join(again, at(again), "left_semi").groupBy(*keys).agg(F.min_by(row, F.to_json(row)).alias("_tessera_row"))
+    return single.unionByName(least.select("_tessera_row.*"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,13 +36,30 @@ class Model:
     usual: np.ndarray | None = None
 
 
-def _code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of all texts, each opened by a space and closed by one, and where each starts."""
-    spaced = [f" {t.lower()} " for t in texts]
-    points = np.frombuffer("".join(spaced).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.zeros(len(texts), dtype=np.int64)
-    np.cumsum([len(t) for t in spaced[:-1]], out=starts[1:])
-    return points, starts
+#: Characters that are scored at a time; longer texts are cut, and their sums added up.
+SLICE = 1 << 18
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Runs of at most about SLICE characters: places of the texts, parts of them, and how many n-grams start in each part.
+
+    Texts are in lower case, opened by a space and closed by one. A part goes on for the length of an n-gram, so that
+    those at its end are whole.
+    """
+    at, parts, own, size = [], [], [], 0
+    for k, text in enumerate(texts):
+        spaced = f" {text.lower()} "
+        for start in range(0, len(spaced), SLICE):
+            part = spaced[start : start + SLICE + GRAMS[-1] - 1]
+            if parts and size + len(part) > SLICE:
+                yield at, parts, own
+                at, parts, own, size = [], [], [], 0
+            at.append(k)
+            parts.append(part)
+            own.append(min(SLICE, len(spaced) - start))
+            size += len(part)
+    if parts:
+        yield at, parts, own
 
 
 _IS_LETTER: np.ndarray | None = None
@@ -56,19 +73,22 @@ def _letters() -> np.ndarray:
     return _IS_LETTER
 
 
-def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each n-gram length the bucket at each place of the joined texts (the last texts' tails cross over,
-    and so are marked by -1), the starts, and the letters of each text.
+def gram_buckets(parts: list[str], own: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each n-gram length the bucket at each place of the joined parts (-1 where an n-gram would leave its part, or
+    starts beyond what is the part's own), the starts, and the letters of each part's own.
 
     What is no letter counts as a space, so digits, marks and addresses say nothing; n-grams that start
     with two spaces, or are a lone space, are marked by -1 as well.
     """
-    points, starts = _code_points(texts)
+    points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    sizes = np.array([len(p) for p in parts])
+    starts = np.cumsum(sizes) - sizes
     letter = _letters()[points]
     points = np.where(letter, points, np.uint32(32))
-    n_letters = np.add.reduceat(letter.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(points))
-    left = np.repeat(ends, ends - starts) - np.arange(len(points))  # places to the end of the text
+    place = np.arange(len(points)) - np.repeat(starts, sizes)
+    theirs = place >= np.repeat(own, sizes)
+    n_letters = np.add.reduceat((letter & ~theirs).astype(np.int64), starts)
+    left = np.repeat(sizes, sizes) - place  # places to the end of the part
     out, h = [], np.zeros(len(points), dtype=np.uint64)
     for k, n in enumerate(GRAMS):
         last = np.zeros_like(points)
@@ -76,7 +96,7 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nda
         h = (h + last.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         bucket = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(49)).astype(np.int64) + k * BUCKETS
-        bad = left < n
+        bad = (left < n) | theirs
         if n == 1:
             bad |= ~letter
         else:
@@ -88,8 +108,9 @@ def gram_buckets(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.nda
 def _counts(texts: list[str], size: int) -> np.ndarray:
     """How often each bucket occurs in the texts together."""
     total = np.zeros(size, dtype=np.int64)
-    for b in gram_buckets(texts)[0]:
-        total += np.bincount(b[b >= 0], minlength=size)
+    for _, parts, own in _slices(texts):
+        for b in gram_buckets(parts, own)[0]:
+            total += np.bincount(b[b >= 0], minlength=size)
     return total
 
 
@@ -98,14 +119,16 @@ def _totals(texts: list[str], model: Model) -> tuple[np.ndarray, np.ndarray, np.
 
     A sparse product: each text's n-grams pick rows of the log-probability matrix, which are added up per text.
     """
-    buckets, starts, n_letters = gram_buckets(texts)
     table_ = np.vstack([model.log_p, np.zeros((1, len(model.langs)), np.int32)])  # row -1 adds nothing
-    total, n = np.zeros((len(texts), len(model.langs)), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
-    for b in buckets:
-        n += np.add.reduceat((b >= 0).astype(np.int64), starts)
-        for k in range(len(model.langs)):
-            total[:, k] += np.add.reduceat(table_[b, k].astype(np.int64), starts)
-    return total, n, n_letters
+    total, n, letters = (np.zeros(shape, dtype=np.int64) for shape in ((len(texts), len(model.langs)), len(texts), len(texts)))
+    for at, parts, own in _slices(texts):
+        buckets, starts, n_letters = gram_buckets(parts, own)
+        np.add.at(letters, at, n_letters)
+        for b in buckets:
+            np.add.at(n, at, np.add.reduceat((b >= 0).astype(np.int64), starts))
+            for k in range(len(model.langs)):
+                np.add.at(total[:, k], at, np.add.reduceat(table_[b, k].astype(np.int64), starts))
+    return total, n, letters
 
 
 def _best(total: np.ndarray, n_letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +215,9 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
 
     Columns that have those names already are replaced.
 
-    Null texts and texts without a letter get `und` and 0; so does every text if nothing could be learned.
+    Null texts and texts without a letter get `und` and 0; so does every text if nothing could be learned. Of languages
+    that are equally likely the first by name is taken. Long texts are scored in parts whose sums are added up. Repeated
+    rows, null ids and other columns stay as they are; an empty table gives an empty one.
     """
     docs = docs.drop(*names)
     at = docs.columns.index(text_col)

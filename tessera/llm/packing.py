@@ -22,7 +22,7 @@ RELEASED = 16
 END_ID = 1
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", bin long, offset long, certified boolean, last boolean"
+PACKED = PIECES + ", bin long, offset long, certified boolean, loose boolean, part long"
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
@@ -72,7 +72,11 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def cut_into_pieces(docs: DataFrame, tokenizer_path: str, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per piece of each document's ids, the end id included; only documents over `size` ids are cut."""
+    """One row per piece of each document's ids, the end id included; only documents over `size` ids are cut.
+
+    A null or empty text is its end id alone; repeated rows and null ids are documents like others; whole texts count,
+    however long; only the two named columns are read, so others may have any names; an empty table gives no piece.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ready(WordBpe, tokenizer_path)
@@ -93,49 +97,56 @@ def cut_into_pieces(docs: DataFrame, tokenizer_path: str, size: int, id_col: str
     return map_arrow(docs.select(F.col(id_col).cast("long"), text_col), run, PIECES)
 
 
+def settle(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Packs one part: bin, offset and whether the bin is given up for each length, and whether the bound certifies the count.
+
+    A certified part gives up its emptiest few bins. A part with a gap between its count and the bound gives up the
+    emptier half of its bins, but no full one.
+    """
+    bins, offsets, used = best_fit_decreasing(lengths, size)
+    fill = np.bincount(bins, weights=lengths, minlength=used)
+    certified = used == lower_bound(lengths, size)
+    loose = np.argsort(fill, kind="stable")[: max(1, min(RELEASED, used // 8) if certified else used // 2)]
+    return bins, offsets, np.isin(bins, loose[fill[loose] < size]), certified
+
+
 def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataFrame:
-    """Adds sequence_id and offset to rows (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id, offset and certified to rows (doc_id, piece, start, length, ids_crc32).
 
     Pieces are dealt at random into parts of about `per_part`; each part packs by best-fit decreasing, and
-    dual feasible functions certify its bin count. Certified parts keep their bins but for the emptiest few;
-    parts with gaps give up all theirs. What was given up is exchanged (dealt anew, into fewer parts) and
-    packed again, until one part holds the rest. Each round is written to the shared folder. Rows that are
-    repeated or have a null doc_id are packed like others; an empty table gives an empty result.
+    dual feasible functions certify its bin count. Certified parts keep their bins but for the emptiest few; parts
+    with gaps give up the emptier half of theirs. What was given up is exchanged (dealt anew, into fewer parts of the
+    same size) and packed again, until one part holds the rest; so the bins in question halve at least from round to
+    round. Each round is written to the shared folder. `certified` says whether the part that made the sequence met its
+    bound.
+
+    Rows that are repeated or have a null doc_id are packed like others; pieces of equal length are ties, which may go
+    either way; other columns, whatever their names, are left out; an empty table gives an empty result.
     """
 
-    def run(t: pa.Table) -> pa.Table:
-        lengths = t.column("length").to_numpy()
-        bins, offsets, used = best_fit_decreasing(lengths, size)
-        fill = np.bincount(bins, weights=lengths, minlength=used)
-        emptiest = np.isin(bins, np.argsort(fill, kind="stable")[: max(1, min(RELEASED, used // 8))])
-        sure = np.full(len(lengths), used == lower_bound(lengths, size))
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        bins, offsets, loose, certified = settle(t.column("length").to_numpy(), size)
         out = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
-        for name, column in (("bin", bins), ("offset", offsets), ("certified", sure), ("last", emptiest)):
+        more = (("bin", bins), ("offset", offsets), ("certified", np.full(len(bins), certified)), ("loose", loose), ("part", np.full(len(bins), key[0].as_py())))
+        for name, column in more:
             out = out.append_column(name, pa.array(column))
         return out
 
     columns = [c.split()[0] for c in PIECES.split(", ")]
-    done, rest, n, level = [], pieces, pieces.count(), 0
+    done, rest, level = [], pieces, 0
+    parts = max(1, -(-pieces.count() // per_part))
     while True:
-        parts = max(1, -(-n // per_part))
         # the level is hashed too, so parts exchange their documents
         part = F.pmod(F.xxhash64(*columns[:3], F.lit(level)), F.lit(parts)).alias("part")
-        packed = cut(
-            map_groups(
-                rest.select(*columns, part), ["part"],
-                lambda key, t: run(t).append_column("part", pa.array([key[0].as_py()] * len(t), pa.int64())), PACKED + ", part long",
-            )
-        )
+        packed = cut(map_groups(rest.select(*columns, part), ["part"], run, PACKED))
         # a sequence's number: level, part, bin
         number = F.lit(level << 56) + F.shiftleft(F.col("part"), 28) + F.col("bin")
-        stays = F.lit(True) if parts == 1 else F.col("certified") & ~F.col("last")
-        done.append(packed.filter(stays).select(*columns, number.alias("sequence_id"), "offset"))
+        stays = F.lit(True) if parts == 1 else ~F.col("loose")
+        done.append(packed.filter(stays).select(*columns, number.alias("sequence_id"), "offset", "certified"))
         if parts == 1:
             break
         rest, level = packed.filter(~stays), level + 1
-        left = rest.count()
-        # parts that stay uncertified grow, so the loop ends
-        n, per_part = left, per_part * (2 if left > n // 2 else 1)
+        parts = max(1, min(-(-rest.count() // per_part), -(-parts // 2)))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, fresh
 from tessera.session import table
 
 #: Items that the heap sees for each shard, at most twice this many: groups of at least 1/ITEMS of a
@@ -35,63 +35,61 @@ def shard_by_size(rows: DataFrame, size: Column, group: Column, shards: int) ->
     A group of at least total / (shards * ITEMS) bytes is an item of its own, of which there are at most
     shards * ITEMS; all smaller groups fall by a hash of their key into shards * ITEMS bundles, each an
     item with the sum of its groups. So the heap, which runs on the driver, sees at most 2 * shards * ITEMS
-    items at any input size, every group counts, and the shards differ by about the smallest items. Group
-    sums are partial per task, so one group may hold any share of the rows. Columns of `rows` that are named
-    size, shard or slot are replaced. An empty table gives an empty result.
+    items at any input size, and every group counts. Two shards differ by no more than the largest item that went to
+    the fuller one after the other was as full: a bundle, which holds a thousandth of a shard or little more, unless
+    a group is larger than a shard should be.
+
+    Group sums are partial per task, so one group may hold any share of the rows. A null size counts as 0, null groups
+    are one group; equal sizes are ties that go by the groups' hashes; repeated rows are rows of their own; long texts
+    count by their size only. Columns of `rows` that are named size, shard or slot are replaced; all others, of any
+    name and type, stay. An empty table gives an empty result.
     """
-    spark = rows.sparkSession
-    sized = rows.withColumn("_bytes", size.cast("long")).withColumn("_group", group)
-    sized = sized.drop("size", "shard", "slot").withColumnRenamed("_bytes", "size")
-    groups = cut(sized.groupBy(F.xxhash64("_group").alias("_g64"), "_group").agg(F.sum("size").alias("_bytes")).drop("_group"))
+    kept = [c for c in rows.columns if c.lower() not in ("size", "shard", "slot")]
+    g64, place = (fresh([*rows.columns, "size", "shard", "slot"], f"_tessera_{x}") for x in ("group", "place"))
     # A group is known by 64 bits from here on: two groups of equal bits would only stay together.
-    total = groups.agg(F.sum("_bytes")).first()[0] or 0
-    least, bundles = max(1, -(-total // (shards * ITEMS))), shards * ITEMS
-    big = groups.groupBy("_g64").agg(F.sum("_bytes").alias("_bytes")).filter(F.col("_bytes") >= least)
-    of_big = [(r["_bytes"], r["_g64"]) for r in big.collect()]
-    small = groups.join(F.broadcast(spark.createDataFrame([(g,) for _, g in of_big], "_g64 long")), "_g64", "left_anti")
-    bundle = F.pmod(F.col("_g64"), F.lit(bundles))
-    of_small = small.groupBy(bundle.alias("_bundle")).agg(F.sum("_bytes").alias("_bytes")).collect()
-    # One heap for both kinds: bundles have keys ("b", n) folded into negative numbers apart from the groups.
-    keyed = [*((s, (0, g)) for s, g in of_big), *((r["_bytes"], (1, r["_bundle"])) for r in of_small)]
-    placed = schedule(keyed, shards)
-    to = spark.createDataFrame([(kind, key, s) for (kind, key), s in placed.items()], "_kind int, _key long, shard int")
-    big_to = to.filter("_kind = 0").select(F.col("_key").alias("_g64"), F.col("shard").alias("_big"))
-    small_to = to.filter("_kind = 1").select(F.col("_key").alias("_bundle"), F.col("shard").alias("_small"))
-    dealt = (
-        sized.withColumn("_g64", F.xxhash64("_group"))
-        .drop("_group")
-        .join(F.broadcast(big_to), "_g64", "left")
-        .withColumn("_bundle", bundle)
-        .join(F.broadcast(small_to), "_bundle", "left")
-        .withColumn("shard", F.coalesce("_big", "_small"))
-        .drop("_g64", "_big", "_bundle", "_small")
+    sized = cut(
+        rows.select(
+            *(F.col(f"`{c}`") for c in kept),
+            F.coalesce(size.cast("long"), F.lit(0)).alias("size"),
+            F.xxhash64(group).alias(g64),
+            F.monotonically_increasing_id().alias(place),  # written with the rows, so it stays
+        )
     )
-    return with_slots(dealt)
-
-
-def with_slots(dealt: DataFrame) -> DataFrame:
+    groups = cut(sized.groupBy(F.col(g64).alias("g")).agg(F.sum("size").alias("bytes")))
+    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    least, bundles = max(1, -(-total // (shards * ITEMS))), shards * ITEMS
+    of_big = [(r["bytes"], r["g"]) for r in groups.filter(F.col("bytes") >= least).collect()]
+    of_small = groups.filter(F.col("bytes") < least).groupBy(F.pmod("g", F.lit(bundles)).alias("b")).agg(F.sum("bytes").alias("bytes")).collect()
+    placed = schedule([*((s, (0, g)) for s, g in of_big), *((r["bytes"], (1, r["b"])) for r in of_small)], shards)
+    to = rows.sparkSession.createDataFrame([(kind, key, s) for (kind, key), s in placed.items()], "kind int, key long, shard int")
+    names = [fresh([*sized.columns, "shard", "slot"], f"_tessera_{x}") for x in ("big", "of_big", "small", "of_small")]
+    big = to.filter("kind = 0").select(F.col("key").alias(names[0]), F.col("shard").alias(names[1]))
+    small = to.filter("kind = 1").select(F.col("key").alias(names[2]), F.col("shard").alias(names[3]))
+    # both have at most shards * ITEMS rows
+    dealt = sized.join(F.broadcast(big), F.col(g64) == F.col(names[0]), "left").join(F.broadcast(small), F.pmod(g64, F.lit(bundles)) == F.col(names[2]), "left")
+    dealt = dealt.select(*(F.col(f"`{c}`") for c in sized.columns if c != g64), F.coalesce(names[1], names[3]).alias("shard"))
+    return with_slots(dealt, place)
+
+
+def with_slots(dealt: DataFrame, place: str) -> DataFrame:
     """Adds `slot`, gapless from 0 within `shard`: numbered within (shard, part) and moved by the parts before.
 
-    A shard has as many parts as it takes for SLOT_ROWS rows each; parts come from a hash of the whole row
-    and its place in the input, so neither a hot group nor a large shard meets in one task.
+    `place`, a column of distinct numbers that were written with the rows, deals the rows of each shard into as many
+    parts as it takes for SLOT_ROWS rows each, so neither a hot group nor equal rows nor a large shard meet in one
+    task. It is left out of the result.
     """
     from pyspark.sql import Window
 
-    dealt = cut(dealt)
-    sizes = dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()
-    parts = max([1, *(-(-r["n"] // SLOT_ROWS) for r in sizes)])
-    parts = max(parts, 8)
-    parted = dealt.withColumn("_part", F.pmod(F.xxhash64(*dealt.columns), F.lit(parts)))
-    counts = parted.groupBy("shard", "_part").agg(F.count(F.lit(1)).alias("_n"))  # at most shards * parts rows
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = counts.select("shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    at = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*dealt.columns))
-    return (
-        parted.withColumn("_at", at)
-        .join(F.broadcast(moved), ["shard", "_part"])
-        .withColumn("slot", F.col("_before") + F.col("_at") - 1)
-        .drop("_part", "_at", "_before")
-    )
+    part, number, moved = (fresh([*dealt.columns, "slot"], f"_tessera_{x}") for x in ("part", "number", "moved"))
+    most = dealt.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
+    parts = max(8, -(-most // SLOT_ROWS))
+    parted = cut(dealt.withColumn(part, F.pmod(F.xxhash64(place), F.lit(parts))))
+    counts = parted.groupBy("shard", part).count()  # at most shards * parts rows
+    before = Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", part, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(moved))
+    numbered = parted.withColumn(number, F.row_number().over(Window.partitionBy("shard", part).orderBy(place)))
+    joined = numbered.join(F.broadcast(starts), ["shard", part])
+    return joined.select(*(F.col(f"`{c}`") for c in dealt.columns if c != place), (F.col(moved) + F.col(number) - 1).alias("slot"))
 
 
 #: The shards of the registered query.

@@ -5,6 +5,7 @@ from __future__ import annotations
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside, as extra columns of the input.
 CLASHES = "row_id name level kept shard slot size part bin key n fp sig label node hub band place own score lang_pred spans near".split()
+CLASHES += "_bytes _group _part _at _before _g64 _bundle _big _small _n _hot _len _sha _tessera_lang".split()
 
 A = "the quick brown fox jumps over the lazy dog while seven wizards mix a potion of red moss and old rain " * 3
 AWKWARD = [

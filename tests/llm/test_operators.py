@@ -75,6 +75,66 @@ def test_language_scores_do_not_depend_on_the_batch(texts):
     assert together[0].tolist() == [a[0][0] for a in alone] and together[1].tolist() == [a[1][0] for a in alone]
 
 
+def test_long_texts_are_scored_in_parts(texts, monkeypatch):
+    rng = np.random.default_rng(0)
+    model = langid.Model(["a", "b", "c"], rng.integers(-9000, 0, (len(langid.GRAMS) * langid.BUCKETS, 3)).astype(np.int32))
+    some = [*list(texts.values())[:20], "", "a", "ß1", "x" * 31, "ΑΣ ΑΣ" * 9]
+    whole, counts = langid._totals(some, model), langid._counts(some, len(model.log_p))
+    for size in (1, 5, 64):
+        monkeypatch.setattr(langid, "SLICE", size)
+        few = some if size > 5 else some[-5:]
+        got, want = langid._totals(few, model), langid._totals(few, model) if size > 64 else None
+        monkeypatch.setattr(langid, "SLICE", 1 << 18)
+        want = langid._totals(few, model)
+        assert all((x == y).all() for x, y in zip(got, want, strict=True))
+    monkeypatch.setattr(langid, "SLICE", 64)
+    assert (langid._counts(some, len(model.log_p)) == counts).all() and (langid._totals(some, model)[0] == whole[0]).all()
+
+
+def naive_bayes_by_brute_force(rows):
+    """Languages of texts by counting n-grams of labelled rows one by one; the hash of an n-gram is the operator's."""
+
+    def grams(text):
+        points = [c if c.isalpha() else " " for c in f" {text.lower()} "]
+        for n in langid.GRAMS:
+            for k in range(len(points) - n + 1):
+                g = points[k : k + n]
+                if g[0] == " " and (n == 1 or g[1] == " "):
+                    continue
+                h = 0
+                for m, c in enumerate(g):
+                    h = (h + ord(c) + 1) * 0x9E3779B97F4A7C15 % 2**64
+                    h ^= h >> 29
+                yield n - 1, (h * 0xBF58476D1CE4E5B9 % 2**64) >> 49
+
+    counts = defaultdict(Counter)
+    for _, text, lang in rows:
+        if lang is not None:
+            counts[lang].update(grams(text))
+    out, size = {}, langid.BUCKETS
+    totals = {(lang, n): sum(c for (m, _), c in bag.items() if m == n) for lang, bag in counts.items() for n in range(len(langid.GRAMS))}
+    for d, text, _ in rows:
+        bag = Counter(grams(text))
+        value = {
+            lang: sum(c * round(math.log((counts[lang][g] + langid.SMOOTH) / (totals[lang, g[0]] + langid.SMOOTH * size)) * langid.SCALE) for g, c in bag.items())
+            for lang in sorted(counts)
+        }
+        best = max(value, key=lambda x: value[x])
+        out[d] = (best, 1 / sum(math.exp(max(-700, (v - value[best]) / langid.SCALE)) for v in value.values())) if any(c.isalpha() for c in text) else ("und", 0.0)
+    return out
+
+
+def test_languages_equal_brute_force_and_ignore_held_out_labels(spark, documents):
+    rows = [(r["doc_id"], r["text"][:400], r["lang"]) for r in documents.collect()]
+    held = {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
+    want = naive_bayes_by_brute_force([(d, t, None if d in held else lang) for d, t, lang in rows])
+    for other in (None, "xx"):  # labels of held-out rows have no say
+        df = spark.createDataFrame([(d, t, other if d in held else lang) for d, t, lang in rows], "doc_id long, text string, lang string")
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(df, langid.fit(df)).collect()}
+        assert {d: x for d, (x, _) in got.items()} == {d: x for d, (x, _) in want.items()}
+        assert all(math.isclose(got[d][1], want[d][1], abs_tol=1e-9) for d in want)
+
+
 def test_texts_that_no_language_fits_go(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
     rnd = random.Random(1)
@@ -343,6 +403,44 @@ def test_many_parts_exchange_what_leaves_gaps(spark):
     check_packed(got, 1000)
 
 
+@pytest.mark.parametrize(
+    "lengths, size, per", [(np.random.default_rng(1).integers(260, 501, 3000), 1000, 100), (np.full(5000, 1), 400, 20), (np.random.default_rng(2).integers(1500, 2600, 3000), 4096, 500)]
+)
+def test_parts_with_gaps_stay_small(lengths, size, per):
+    """The rounds of `pack` without Spark: no part grows, and there are no more bins than one part would need, but a few."""
+    rng, rest, bins, level = np.random.default_rng(3), lengths, 0, 0
+    parts = -(-len(rest) // per)
+    while True:
+        part, left = rng.integers(0, parts, len(rest)), [np.zeros(0, int)]
+        for k in range(parts):
+            mine = rest[part == k]
+            assert len(mine) <= max(1.5 * per, 6 * size / lengths.min())
+            if not len(mine):
+                continue
+            at, _, loose, _ = packing.settle(mine, size)
+            loose = loose if parts > 1 else np.zeros(len(mine), bool)
+            bins += len(set(at[~loose]))
+            left.append(mine[loose])
+        level += 1
+        if parts == 1:
+            break
+        rest = np.concatenate(left)
+        parts = max(1, min(-(-len(rest) // per), -(-parts // 2)))
+    assert level < 15 and bins <= 1.02 * packing.best_fit_decreasing(lengths, size)[2] + 1
+
+
+def test_parts_with_gaps_exchange(spark):
+    lengths = np.random.default_rng(1).integers(260, 501, 3000)
+    df = spark.createDataFrame([(int(k), 0, 0, int(x), 0) for k, x in enumerate(lengths)], packing.PIECES)
+    got = packing.pack(df, 1000, per_part=400).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths.tolist())
+    bins = defaultdict(list)
+    for r in got:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sorted(x)[-1][0] + sorted(x)[-1][1] == sum(n for _, n in x) <= 1000 for x in bins.values())
+    assert len(bins) <= packing.best_fit_decreasing(lengths, 1000)[2] + 2 and not all(r["certified"] for r in got)
+
+
 def fewest_bins(lengths, size):
     best = len(lengths)
 
@@ -725,6 +823,14 @@ def test_exact_duplicates_of_awkward_rows(spark, tmp_path):
     assert exact_dedup.exact_duplicates(empty(spark)).count() == 0
 
 
+def test_repeated_rows_with_a_map_and_clashing_names(spark, tmp_path):
+    rows = [(7, "q", {"a": "1"}), (7, "q", {"a": "0"}), (7, "Q", {"b": "2"}), (8, "r", None), (None, "r", None)]
+    docs = big(spark, tmp_path, spark.createDataFrame(rows, "doc_id long, text string, m map<string,string>").withColumn("row", F.lit(1)).withColumn("_n", F.lit(2)))
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["text"], r["m"]) for r in kept.collect()) == [(7, "Q", {"b": "2"}), (8, "r", None)]  # the smallest JSON
+
+
 # SentencePiece
 
 
@@ -870,9 +976,21 @@ def test_shards_with_a_hot_group_and_small_groups(spark):
     assert loads[-1] == 100000 and loads[2] - loads[0] <= 600  # the hot group alone, the others even
 
 
+def test_shards_keep_columns_of_any_name_and_type(spark):
+    names = "_bytes _group _part _at _before _g64 _bundle _big _small _tessera_group _tessera_place _TESSERA_part a.b".split()
+    rows = spark.range(400).select(F.col("id").alias("doc_id"), *(F.lit(k).alias(n) for k, n in enumerate(names)), F.create_map(F.lit("k"), F.lit("v")).alias("m"), F.lit("old").alias("shard"))
+    rows = rows.withColumn("g", F.when(F.col("doc_id") < 300, F.lit("hot"))).drop("doc_id").withColumn("doc_id", F.lit(1))  # equal rows
+    put = sharding.shard_by_size(rows, F.lit(3), F.col("g"), 4)
+    assert put.columns == [*(c for c in rows.columns if c != "shard"), "size", "shard", "slot"]
+    got = put.collect()
+    check_shards(got, 4, lambda r: r["g"])
+    assert len(got) == 400 and all(r[n] == k for r in got[:5] for k, n in enumerate(names)) and got[0]["m"] == {"k": "v"}
+
+
 def test_shards_of_awkward_rows(spark, tmp_path):
     awkward(spark).write.parquet(f"{tmp_path}/a/documents.parquet")
     empty(spark).write.parquet(f"{tmp_path}/b/documents.parquet")
     got = sharding.op10_sharding(spark, f"{tmp_path}/a").collect()
     assert len(got) == len(AWKWARD) and {r["size"] for r in got if r["doc_id"] in (4, 5)} == {16}
+    assert all((r["law"], r["grown_shard"]) == ("bytes", None) for r in got)
     assert sharding.op10_sharding(spark, f"{tmp_path}/b").count() == 0
