@@ -77,15 +77,6 @@ def register_queries(r: Registry) -> None:
     @r.query(
         "fn_gap_fill",
         """WITH d AS (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS day FROM events),
-        u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' AND user_id % 7 = 0 GROUP BY 1)
-        SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM d LEFT JOIN u ON CAST(d.day AS DATE) = u.day""",
-    )
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return daily_counts(table(spark, sf_dir, "events"), "event_type = 'signup' AND user_id % 7 = 0")
-
-    @r.query(
-        "fn_gap_fill_all",
-        """WITH d AS (SELECT unnest(generate_series(min(CAST(ts AS DATE)), max(CAST(ts AS DATE)), INTERVAL 1 DAY)) AS day FROM events),
         u AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY 1)
         SELECT CAST(d.day AS DATE) AS day, coalesce(n, 0) AS n FROM d LEFT JOIN u ON CAST(d.day AS DATE) = u.day""",
     )

@@ -10,19 +10,32 @@ from tessera.plans.registry import Registry
 from tessera.session import table
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], span: Column | None = None) -> DataFrame:
     """Backward as-of join: each left row with the last right row of the same key at or before its time.
 
     Both sides are united and sorted by (key, time), right rows first at equal times, and the last right row is
     carried forward: one shuffle on the key, no pair of rows is ever formed. Of right rows at one time the last
     in order of `values` counts. Left rows without a match keep nulls; a null time matches nothing.
+
+    A key with a large share of the rows, or no key at all, would meet in one task. `span`, an expression over `on`
+    that never falls as time goes on (the day, say), deals rows by (key, span) instead: the last right row of each
+    span, one row per key and span, is carried over to the spans after it.
     """
     kept = [c for c in left.columns if c not in by and c != on]
     a = left.select(*by, on, F.struct(*(kept or [F.lit(1).alias("_none")])).alias("_l"), F.lit(None).alias("_r"), F.lit(1).alias("_side"))
     b = right.filter(F.col(on).isNotNull()).select(*by, on, F.lit(None).alias("_l"), F.struct(*values).alias("_r"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(*by).orderBy(on, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_seen", F.last("_r", ignorenulls=True).over(w)).filter("_side = 1")
-    out = out.withColumn("_seen", F.when(F.col(on).isNotNull(), F.col("_seen")))
+    both, keys = a.unionByName(b), list(by)
+    if span is not None:
+        both, keys = both.withColumn("_span", span), [*by, "_span"]
+    w = Window.partitionBy(*keys).orderBy(on, "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("_seen", F.last("_r", ignorenulls=True).over(w))
+    if span is not None:
+        last = both.filter(F.col(on).isNotNull()).groupBy(*keys).agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct(on, "_r"))).alias("_last"))
+        before = Window.partitionBy(*by).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+        last = last.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.last("_last", ignorenulls=True).over(before).alias("_before"))
+        on_keys = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+        out = out.filter("_side = 1").join(last, on_keys, "left").withColumn("_seen", F.coalesce("_seen", "_before"))
+    out = out.filter("_side = 1").withColumn("_seen", F.when(F.col(on).isNotNull(), F.col("_seen")))
     return out.select(*by, on, *(F.col(f"_l.{c}").alias(c) for c in kept), *(F.col(f"_seen.{v}").alias(v) for v in values))
 
 

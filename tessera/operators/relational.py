@@ -68,16 +68,6 @@ def register_queries(r: Registry) -> None:
 
     @r.query(
         "sort_null_order",
-        """SELECT o_orderkey, CAST(row_number() OVER (ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS INT) AS place
-        FROM orders ORDER BY place LIMIT 50""",
-    )
-    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = F.nullif(F.col("o_orderstatus"), F.lit("F"))
-        first = table(spark, sf_dir, "orders").orderBy(key.asc_nulls_last(), "o_orderkey").limit(50)
-        return first.select("o_orderkey", F.row_number().over(Window.orderBy(key.asc_nulls_last(), "o_orderkey")).alias("place"))
-
-    @r.query(
-        "sort_null_order_all",
         """SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') ASC NULLS LAST, o_orderkey) AS INT) AS last,
         CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY nullif(o_orderstatus, 'F') DESC NULLS FIRST, o_orderkey) AS INT) AS first FROM orders""",
     )

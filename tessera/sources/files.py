@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,8 +64,13 @@ def apply_renames(plan: DataFrame) -> int:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder path where every executor can write: below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/tessera-scratch"
+    """A new folder path where every executor can write, below spark.checkpoint.dir. Only a local session, whose executors
+    are threads of the driver, may do without and gets a local folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-scratch')}"
     return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
 
 

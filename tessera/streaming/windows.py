@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,29 +24,27 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None =
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now, into Parquet (append) or the memory sink, and returns its rows.
+    """Runs a stream over what is there now into Parquet and returns its rows.
 
-    Append results are written by foreachBatch to a folder of their own per batch, so a batch that is run
-    again replaces its own rows; nothing is held on the driver.
+    Results are written by foreachBatch to a folder of their own per batch, so a batch that is run again replaces its
+    own rows; nothing is held on the driver. In complete mode each batch has all rows, and only the last one's are
+    read.
     """
     spark, path = stream.sparkSession, scratch(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True)
-    if mode == "complete":
-        name = f"tessera_{uuid.uuid4().hex}"
-        query = writer.format("memory").queryName(name).start()
-        query.awaitTermination()
-        return spark.table(name)
+    last = -1
 
     def keep(batch: DataFrame, number: int) -> None:
+        nonlocal last
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last = max(last, number)
 
     writer.foreachBatch(keep).start().awaitTermination()
-    try:
-        return spark.read.schema(stream.schema).parquet(path).drop("batch")
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], stream.schema)
-        raise
+    if last < 0:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={last}")
+    return spark.read.schema(stream.schema).parquet(path).drop("batch")
 
 
 def running_counts(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -73,7 +70,13 @@ def register_queries(r: Registry) -> None:
         by = event_stream(spark, sf_dir).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
         return run_to_end(by, "complete").select(utc("w.start").alias("start"), "event_type", "n")
 
-    @r.query("stream_tumbling_append")
+    # an append stream returns the windows that end before the watermark, an hour before the last event
+    @r.query(
+        "stream_tumbling_append",
+        """WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events)
+        SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, count(*) AS n FROM events
+        WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM m) GROUP BY 1""",
+    )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         by = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"))
         return run_to_end(by).select(utc("w.start").alias("start"), "n")
@@ -101,12 +104,15 @@ def register_queries(r: Registry) -> None:
         by = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
         return by.select("user_id", utc("w.start").alias("start"), "n")
 
-    @r.query("stream_session")
+    @r.query(
+        "stream_session",
+        sessions + " HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)",
+    )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         by = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
         return run_to_end(by).select("user_id", utc("w.start").alias("start"), "n")
 
-    @r.query("stream_dedup_watermark")
+    @r.query("stream_dedup_watermark", "SELECT event_id, min(user_id) AS user_id FROM events GROUP BY event_id")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         once = event_stream(spark, sf_dir).withWatermark("ts", "1 hour").dropDuplicatesWithinWatermark(["event_id"])
         return run_to_end(once.select("event_id", "user_id"))
@@ -133,7 +139,7 @@ def register_queries(r: Registry) -> None:
         seen = run_to_end(by, "update").groupBy("user_id").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
         return seen.select("user_id", "n", F.round("total", 4).alias("total"))
 
-    @r.query("stream_state_processor")
+    @r.query("stream_state_processor", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         from tessera.streaming.processor import counting
 

@@ -57,7 +57,7 @@ def test_all_signups_of_the_given_table_are_counted(spark):
 
     sf = "/root/testdata/sf0.001"
     want = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'signup'").count()
-    assert REGISTRY.queries["fn_gap_fill_all"](spark, sf).agg(F.sum("n")).first()[0] == want
+    assert REGISTRY.queries["fn_gap_fill"](spark, sf).agg(F.sum("n")).first()[0] == want
 
 
 def test_places_of_null_keys(spark):
@@ -71,7 +71,7 @@ def test_null_order_returns_every_order(spark):
     from tessera.plans.catalog import REGISTRY
 
     orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_orderkey", "o_orderstatus")
-    got = REGISTRY.queries["sort_null_order_all"](spark, "/root/testdata/sf0.001").join(orders, "o_orderkey")
+    got = REGISTRY.queries["sort_null_order"](spark, "/root/testdata/sf0.001").join(orders, "o_orderkey")
     assert got.count() == orders.count()
     assert got.filter("o_orderstatus = 'F'").count() == orders.filter("o_orderstatus = 'F'").count() > 0
 
@@ -111,6 +111,43 @@ def test_stream_equals_batch_for_any_number_of_files(spark, tmp_path):
     assert sorted(counts) == sorted(spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").count().collect())
 
 
+def test_file_queries_equal_the_directory(spark):
+    import os
+
+    from tessera.plans.catalog import REGISTRY
+
+    sf = "/root/testdata/sf0.001"
+    files = {e.name: e.stat().st_size for e in os.scandir(sf) if e.name.endswith(".parquet") and e.is_file()}
+    assert {(r["name"], r["length"]) for r in REGISTRY.queries["src_list_files"](spark, sf).collect()} == set(files.items())
+    renamed = {(r["name"], r["new_name"]) for r in REGISTRY.queries["src_replace_in_names"](spark, sf).collect()}
+    assert renamed == {(n, n.replace(".parquet", "_old.parquet") if n.startswith("p") else n) for n in files}
+    plan = [r.asDict() for r in REGISTRY.queries["src_rename_plan"](spark, sf).collect()]
+    assert plan == [{"name": "part.parquet", "new_name": "nation.parquet", "collides": True}]
+
+
+def test_samples_take_about_their_share_and_nothing_else(spark):
+    from tessera.plans.catalog import REGISTRY
+
+    sf = "/root/testdata/sf0.01"
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    got = REGISTRY.queries["proj_sample"](spark, sf)
+    assert got.exceptAll(orders).count() == 0
+    n = {r["o_orderstatus"]: r["count"] for r in orders.groupBy("o_orderstatus").count().collect()}
+    for r in got.groupBy("o_orderstatus").count().collect():
+        share = {"F": 0.1, "O": 0.1, "P": 0.5}[r["o_orderstatus"]]
+        assert abs(r["count"] - share * n[r["o_orderstatus"]]) < 6 * (n[r["o_orderstatus"]] * share * (1 - share)) ** 0.5
+
+
+def test_asof_of_one_hot_key_is_dealt_by_time(spark):
+    left = spark.range(500).select((F.col("id") % 50 == 0).cast("int").alias("k"), F.timestamp_seconds(F.col("id") * 7919 % 100_000).alias("ts"), F.col("id").alias("x"))
+    right = spark.range(300).select((F.col("id") % 40 == 0).cast("int").alias("k"), F.timestamp_seconds(F.col("id") * 104729 % 100_000).alias("ts"), F.col("id").alias("v"))
+    whole = {(r["x"], r["v"]) for r in asof_join(left, right, ["k"], "ts", ["v"]).collect()}
+    for by in (["k"], []):
+        want = whole if by else {(r["x"], r["v"]) for r in asof_join(left, right, [], "ts", ["v"]).collect()}
+        for span in (F.floor(F.unix_seconds("ts") / 3600), F.lit(0)):
+            assert {(r["x"], r["v"]) for r in asof_join(left, right, by, "ts", ["v"], span).collect()} == want
+
+
 def test_file_operations(spark, tmp_path):
     for name in ("a.b.txt", "ab.txt", "c.txt", "sub/d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
