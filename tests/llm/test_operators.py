@@ -163,7 +163,9 @@ def lcs(a, b):
     return t[-1][-1]
 
 
-def test_common_lines_are_a_longest_common_subsequence():
+@pytest.mark.parametrize("cells", [1 << 24, 0, 6])
+def test_common_lines_are_a_longest_common_subsequence(cells, monkeypatch):
+    monkeypatch.setattr(html_text, "TABLE_CELLS", cells)
     rnd = random.Random(0)
     for _ in range(2000):
         a, b = ([rnd.randint(0, 5) for _ in range(rnd.randint(0, 12))] for _ in range(2))
