@@ -264,27 +264,42 @@ CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 1 << 19
 def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Links between documents of one bucket that the links so far leave in different components.
 
-    In each bucket with several components, every member outside the largest one meets every other member of
-    the bucket, chunk by chunk, so a bucket of any size is many tasks. Pairs in one component are passed over,
-    the others estimated and verified on full sets; a chunk pair returns at most one link per component it
-    joins, never all pairs. A pair is tried in its first common band only.
+    In each bucket with several components, every member outside the largest one meets the other members whose
+    set size allows a link, chunk by chunk, so a bucket of any size is many tasks. Sizes are cut into levels, a
+    factor of the threshold apart: two sets that can be linked lie in one level or in adjacent ones. Pairs in one
+    component are passed over, the others estimated and verified on full sets; a chunk pair returns at most one
+    link per component it joins, never all pairs. A pair is tried in its first common band only.
     """
-    label = F.coalesce("label", "rep").alias("label")
-    marked = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "rep", label)
-    per_label = marked.join(reps.select("rep", "n"), "rep").groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
-    buckets = (
-        per_label.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("c"), F.max("c").alias("most"), F.sum("w").alias("w"))
-        .filter("labels > 1")
+    # a little wider than the threshold's factor, so rounding never puts a pair at the threshold two levels apart
+    step = max(math.log(100 / rule.percent), 1e-9) * (1 + 1e-6)
+    level = F.floor(F.log(F.col("n").cast("double")) / F.lit(step)).cast("long").alias("level")
+    found = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").join(reps.select("rep", "n"), "rep")
+    marked = cut(found.select("key", "band", "rep", F.coalesce("label", "rep").alias("label"), "n", level))
+
+    def mains(rows: DataFrame, hot: bool) -> DataFrame:
+        per_label = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
+        return per_label.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("c", "label")).alias("main"))
+
+    inside = look_up(marked, ["key"], mains, F.col("rep")).filter("labels > 1")
+    inside = cut(inside.withColumn("odd", F.col("label") != F.col("main")).drop("labels", "main"))
+    of_odd = lambda x: F.sum(F.when(F.col("odd"), x).otherwise(0))
+    levels = inside.groupBy("key", "level").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"), of_odd(F.lit(1)).alias("c_odd"), of_odd(F.col("n")).alias("w_odd")
     )
-    chunks = lambda c: F.ceil(F.greatest(F.col("c") / CHUNK_MEMBERS, F.col("w") / CHUNK_SHINGLES) * c / F.col("c")).cast("int")
-    buckets = cut(buckets.select("key", "main", chunks(F.col("c")).alias("gm"), chunks(F.col("c") - F.col("most")).alias("gl")))
-    inside = cut(marked.join(buckets, "key").withColumn("odd", F.col("label") != F.col("main")))
+    levels = cut(levels)
+    beside = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("cell")
+    chunks = lambda c, w: F.ceil(F.greatest(F.col(c) / CHUNK_MEMBERS, F.col(w) / CHUNK_SHINGLES)).cast("int")
+    cells = levels.select("key", beside, "c", "w").groupBy("key", "cell").agg(F.sum("c").alias("c"), F.sum("w").alias("w"))
+    cells = cells.join(levels.filter("c_odd > 0").select("key", F.col("level").alias("cell"), "c_odd", "w_odd"), ["key", "cell"])
+    cells = cut(cells.select("key", "cell", chunks("c", "w").alias("gm"), chunks("c_odd", "w_odd").alias("gl")))
     at = lambda g: F.pmod(F.xxhash64("rep"), F.col(g)).cast("int")
     every = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
-    as_odd = inside.filter("odd").select("key", "band", "rep", "label", at("gl").alias("lc"), every("gm").alias("mc"), F.lit(True).alias("odd"))
-    as_any = inside.select("key", "band", "rep", "label", every("gl").alias("lc"), at("gm").alias("mc"), F.lit(False).alias("odd"))
-    rows = as_odd.union(as_any).join(reps.select("rep", "n", "sig"), "rep").select("key", "lc", "mc", "band", "rep", "label", "odd", "n", "sig")
+    kept = ["key", "cell", "band", "rep", "label", "n"]
+    as_odd = inside.filter("odd").withColumnRenamed("level", "cell").join(cells, ["key", "cell"])
+    as_odd = as_odd.select(*kept, at("gl").alias("lc"), every("gm").alias("mc"), F.lit(True).alias("odd"))
+    as_any = inside.select("key", "band", "rep", "label", "n", beside).join(cells, ["key", "cell"])
+    as_any = as_any.select(*kept, every("gl").alias("lc"), at("gm").alias("mc"), F.lit(False).alias("odd"))
+    rows = as_odd.union(as_any).join(reps.select("rep", "sig"), "rep").select("key", "cell", "lc", "mc", "band", "rep", "label", "odd", "n", "sig")
 
     def candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         """For each odd row the rows of other components to try, likeliest first."""
@@ -330,9 +345,9 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     # the registers first; full sets travel only for rows that have a likely partner in their chunk
-    left = cut(map_groups(rows, ["key", "lc", "mc"], lambda key, t: likely(t), rows.schema))
+    left = cut(map_groups(rows, ["key", "cell", "lc", "mc"], lambda key, t: likely(t), rows.schema))
     sets = _sets(docs, reps, left.select("rep").distinct(), rule, id_col, text_col)
-    return map_groups(left.join(sets, "rep"), ["key", "lc", "mc"], lambda key, t: run(t), "a long, b long")
+    return map_groups(left.join(sets, "rep"), ["key", "cell", "lc", "mc"], lambda key, t: run(t), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
@@ -362,8 +377,8 @@ def _judged(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFram
         "rep",
         F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * width + 1, F.lit(width))))).alias("band", "key"),
     )
-    buckets = cut(bands.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
-    members = cut(bands.join(buckets, "key"))
+    hubs = lambda rows, hot: rows.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("c"))
+    members = cut(look_up(bands, ["key"], hubs, F.col("rep")).filter("c > 1").drop("c"))
     pairs = cut(_likely(members.filter("rep <> hub").select("rep", "hub").distinct(), reps, rule))
     sets = _sets(docs, reps, pairs.select("rep").union(pairs.select("hub")).distinct(), rule, id_col, text_col)
     links = cut(_verified(pairs, sets, rule).select(F.col("rep").alias("a"), F.col("hub").alias("b")))

@@ -318,6 +318,18 @@ def test_large_groups_are_cut_into_chunks(spark, monkeypatch):
     assert got_components(near_dup.near_duplicates(df, near_dup.CONTRACT)) == components_by_brute_force(some, near_dup.CONTRACT)
 
 
+def test_sets_of_sizes_at_the_threshold_are_linked(spark, monkeypatch):
+    # beginnings of one text, of which some reach the threshold exactly (17 of 20 shingles, 34 of 40, ...), and
+    # strangers that share most of it, so that buckets hold several components and sizes
+    monkeypatch.setattr(near_dup, "CHUNK_MEMBERS", 4)
+    base = [f"w{k}" for k in range(402)]
+    sizes = [17, 20, 23, 34, 40, 47, 51, 60, 85, 100, 119, 140, 170, 200, 300, 353, 400]
+    some = {k: " ".join(base[: n + 2]) for k, n in enumerate(sizes)}
+    some |= {100 + k: " ".join([*base[: n + 2], *(f"z{k}_{j}" for j in range(n // 4))]) for k, n in enumerate(sizes)}
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    assert got_components(near_dup.near_duplicates(df, near_dup.CONTRACT)) == components_by_brute_force(some, near_dup.CONTRACT)
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(5)
     x = rng.integers(0, 2**63, 30000, dtype=np.uint64)
