@@ -1,11 +1,14 @@
-"""Sources and sinks: file formats, directory listings, rename plans, partitioned and bucketed writes."""
+"""Sources and sinks: file formats, databases, directory listings, rename plans, partitioned and bucketed writes."""
 
 from __future__ import annotations
 
+import atexit
+import math
 import os
 import re
 import tempfile
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,7 +74,30 @@ def scratch(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'tessera-scratch')}"
-    return f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
+    _folders.append((spark, path))
+    return path
+
+
+_folders: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def remove_intermediates() -> None:
+    """Drops the bucketed tables and deletes the folders that the queries wrote; runs when the driver ends."""
+    try:
+        while _tables:
+            spark, name = _tables.pop()
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        while _folders:
+            spark, path = _folders.pop()
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session has ended; what it can't reach any more stays
+        return
+
+
+atexit.register(remove_intermediates)
 
 
 def round_trip(df: DataFrame, kind: str) -> DataFrame:
@@ -81,6 +107,26 @@ def round_trip(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.format(kind).options(**options).schema(df.schema).load(path)
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", **options: str) -> None:
+    """Writes `df` to a database table, one connection per partition."""
+    df.write.format("jdbc").options(url=url, dbtable=name, **options).mode(mode).save()
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, column: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A database table. With a numeric, date or timestamp `column` it is read by `parts` connections, each of a range of the
+    column between its least and greatest value, which the database finds; null values come with the first range."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if column:
+        quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+        query = f"SELECT min({quoted}) AS low, max({quoted}) AS high FROM {name}"
+        low, high = spark.read.format("jdbc").options(url=url, query=query, **options).load().first()
+        if low is not None:
+            if isinstance(low, float | Decimal):  # bounds of numbers are whole
+                low, high = math.floor(low), math.ceil(high)
+            reader = reader.options(partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=parts)
+    return reader.option("dbtable", name).load()
+
+
 def register_queries(r: Registry) -> None:
     @r.query("src_list_files")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +174,7 @@ def register_queries(r: Registry) -> None:
         names = {t: f"tessera_{t}_{uuid.uuid4().hex[:12]}" for t in ("orders", "lineitem")}
         keys = {"orders": ("o_orderkey", "o_orderstatus"), "lineitem": ("l_orderkey",)}
         for t, name in names.items():
+            _tables.append((spark, name))
             table(spark, sf_dir, t).select(*keys[t]).write.bucketBy(8, keys[t][0]).sortBy(keys[t][0]).format("parquet").saveAsTable(name)
         orders, items = spark.table(names["orders"]), spark.table(names["lineitem"])
         return orders.join(items, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))

@@ -1,6 +1,7 @@
 """Cases that the given tables don't hold: nulls, ties, orphans, session edges, late events, name collisions."""
 
 import datetime as dt
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalars import daily_counts
 from tessera.operators.joins import asof_join, range_join
 from tessera.operators.relational import placed, top_k_per_group
-from tessera.sources.files import apply_renames, list_files, rename_plan, replace_in_names, round_trip
+from tessera.sources.files import apply_renames, list_files, read_jdbc, rename_plan, replace_in_names, round_trip, write_jdbc
 from tessera.streaming.windows import run_to_end
 
 
@@ -183,3 +184,19 @@ def test_plans_prune_push_and_limit(spark):
     assert "TakeOrderedAndProject" in plan("sort_top_k")
     assert "NestedLoop" not in plan("join_range") and "Cartesian" not in plan("join_range")
     assert plan("src_bucketed_join").count("Exchange hashpartitioning(l_orderkey") == 0
+
+
+@pytest.mark.parametrize("column", ["k", "price", "day", None])
+def test_database_round_trip(spark, column):
+    rows = [(k, decimal.Decimal(k * 7).scaleb(-2), dt.date(2024, 1, 1) + dt.timedelta(k % 40), f"name {k}") for k in range(100)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "k long, price decimal(10,2), day date, name string")
+    url, driver = f"jdbc:derby:memory:tessera_{column};create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    write_jdbc(df, url, "items", driver=driver)
+    write_jdbc(df.filter("k < 5"), url, "items", driver=driver)
+    got = read_jdbc(spark, url, "items", column, parts=4, driver=driver)
+    assert got.rdd.getNumPartitions() == (4 if column else 1)
+    key = lambda r: (r[0] is None, r)
+    assert sorted((tuple(r) for r in got.collect()), key=key)[:-1] == sorted(rows[:-1] + rows[:5], key=key)
+    assert got.filter("name IS NULL").count() == 1
+    write_jdbc(df.limit(0), url, "nothing", mode="overwrite", driver=driver)
+    assert read_jdbc(spark, url, "nothing", column, driver=driver).count() == 0
