@@ -256,7 +256,11 @@ LEAST_SCORE, LEAST_FIT = 0.5, -4.0
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """The documents whose language is identified: not `und`, with a score of at least LEAST_SCORE and a fit of at least
-    LEAST_FIT; columns as before. If nothing could be learned, no language can be ruled out, and all with a letter stay."""
+    LEAST_FIT; columns as before. If nothing could be learned, no language can be ruled out, and all with a letter stay.
+
+    A null text, an empty one and one without a letter go. Equal texts have equal scores, so repeated rows stay or go
+    together; long texts are scored whole, in parts; an empty table gives an empty one.
+    """
     names = ("_tessera_lang", "_tessera_score", "_tessera_fit")
     model = fit(docs)
     if model.langs == [NONE]:

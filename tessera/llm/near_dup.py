@@ -438,7 +438,9 @@ def _judged(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFram
 def drop_near_duplicates(docs: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """`docs` with one document of each group: the one with the smallest id. Rows without an id stay.
 
-    Rows go by their id, but where an id has rows of both kinds, by id and set, so that only copies go.
+    Rows go by their id, but where an id has rows of both kinds, by id and set, so that only copies go. Rows that repeat
+    an id with equal sets are one document and stay or go together. A null text or one without words is no copy of
+    anything and stays; whole texts count, however long; an empty table gives an empty one.
     """
     judged = cut(_judged(docs, rule, id_col, text_col).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(id_col), "fp", "kept"))
     gone = judged.filter("NOT kept").select(id_col).distinct()
