@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, html_text, langid, near_dup, packing, pieces, pii, search, sharding, tokens
+from tessera.llm import clustering, exact_dedup, html_text, langid, near_dup, packing, pieces, pii, search, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pieces": pieces.op9_pieces,
     "op10_sharding": sharding.op10_sharding,
+    "op13_centroids": clustering.op13_centroids,
 }
 ORACLE_SQL = {
     "op8_exact_dedup": exact_dedup.SQL,
+    "op13_centroids": clustering.SQL,
 }

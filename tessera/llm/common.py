@@ -171,3 +171,16 @@ def map_groups(df: DataFrame, keys: list[str], run, schema) -> DataFrame:
     """df.groupBy(keys).applyInArrow with batches of bounded bytes; `run` takes the key and the group's table."""
     _bounded(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(lambda key, t: run(key, t), schema)
+
+
+def map_pandas(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInPandas with batches of bounded bytes, in workers that give their memory back after each task."""
+    _bounded(df.sparkSession)
+
+    def guarded(frames):
+        try:
+            yield from run(frames)
+        finally:
+            _release()
+
+    return df.mapInPandas(guarded, schema)
