@@ -173,6 +173,12 @@ def map_groups(df: DataFrame, keys: list[str], run, schema) -> DataFrame:
     return df.groupBy(*keys).applyInArrow(lambda key, t: run(key, t), schema)
 
 
+def map_cogroups(df: DataFrame, keys: list[str], other: DataFrame, other_keys: list[str], run, schema) -> DataFrame:
+    """df.groupBy(keys).cogroup(other.groupBy(other_keys)).applyInArrow with batches of bounded bytes."""
+    _bounded(df.sparkSession)
+    return df.groupBy(*keys).cogroup(other.groupBy(*other_keys)).applyInArrow(lambda key, a, b: run(key, a, b), schema)
+
+
 def map_pandas(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInPandas with batches of bounded bytes, in workers that give their memory back after each task."""
     _bounded(df.sparkSession)
