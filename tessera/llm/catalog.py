@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import clustering, exact_dedup, html_text, langid, manifest, near_dup, packing, pieces, pii, search, sharding, tokens
+from tessera.llm import clustering, exact_dedup, html_text, langid, manifest, near_dup, packing, pieces, pii, repeats, search, sharding, tokens
 
 QUERIES = {
     "op1_langid": langid.op1_langid,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_pieces": pieces.op9_pieces,
     "op10_sharding": sharding.op10_sharding,
+    "op11_repeats": repeats.op11_repeats,
     "op12_manifest": manifest.op12_manifest,
     "op13_centroids": clustering.op13_centroids,
 }
