@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import Registry
 from tessera.session import table
+from tessera.sources.files import scratch
 
 #: n-grams of the smaller table up to which their Bloom filter and they themselves are broadcast (8 and about 400 MB).
 BROADCAST_GRAMS = 1 << 22
@@ -37,8 +42,6 @@ def _hash(w: Column, at: Column, n: int) -> Column:
 
 def bloom_filter(hashes: DataFrame, count: int) -> tuple[bytes, int]:
     """A filter of `count` 64-bit hashes, seven bits a byte (so that each byte is a character), and its size in bits."""
-    import numpy as np
-
     size = max(7, count * BITS)
     held = np.array([r[0] for r in hashes.collect()], np.int64)
     bits = np.zeros(-(-size // 7) * 7, np.uint8)
@@ -97,6 +100,244 @@ def shared_ngrams(docs: DataFrame, items: DataFrame, n: int = 8, doc_id: str = "
     return shared.withColumn("share", F.round(F.col("n_shared") / F.col("item_grams"), 6))
 
 
+@dataclass(frozen=True)
+class Overlap:
+    """Sets of words are alike if their Jaccard similarity is at least `percent` hundredths."""
+
+    percent: int = 80
+
+    def prefix(self, n: np.ndarray) -> np.ndarray:
+        """How many of a set's first words, in one order for all sets, a set alike must share one of."""
+        return np.where(n > 0, n + (-self.percent * n // 100) + 1, 0)
+
+    def enough(self, common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return common * (100 + self.percent) >= self.percent * (n + m)
+
+
+#: Counters that words are hashed to for their order, members of a chunk of a word's sets, rows up to which ids are broadcast.
+COUNTERS, CHUNK, BROADCAST_ROWS = 1 << 20, 1024, 1_000_000
+#: Bytes of the batches that go to Python, rows that are compared at once, and members up to which pairs are listed.
+BATCH_BYTES, AT_ONCE, FEW = 16 << 20, 50_000, 64
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """`df` written to a scratch folder and read back."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _flat(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and values of a column of lists of longs."""
+    lists = batch.column(name)
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy()
+
+
+def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, fp, n, prefix, h): a digest of each row's set of words, its size, and the words' hashes, rarest first.
+
+    Rare means a small counter of those that all words are hashed to: one order for all sets, whatever the counters
+    hold, from a table of fixed size.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    distinct = F.sort_array(F.array_distinct(words(F.col(text_col))))
+    sets = docs.select(F.col(id_col).alias("doc_id"), distinct.alias("w"))
+    sets = sets.select("doc_id", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("fp"), F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+    cells = sets.select(F.explode("h").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("cell")).agg(F.count(F.lit(1)).alias("c")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, h = _flat(batch, "h")
+            n = np.diff(at)
+            h = h[np.lexsort((h, shared.value[h % COUNTERS], np.repeat(np.arange(len(n)), n)))]
+            p = rule.prefix(n)
+            first = h[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(p, n)]
+            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64())) for o, v in ((np.append(0, np.cumsum(p)), first), (at, h))]
+            yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64()), *lists], names=["doc_id", "fp", "n", "prefix", "h"])
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, h array<long>"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted batches as tables that hold whole groups of (word, lo, hi), with the first row of each group."""
+    held: list[pa.Table] = []
+
+    def cut(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(len(rows), bool)
+        for c in ("word", "lo", "hi"):
+            v = rows.column(c).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        new[0] = True
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+        if sum(map(len, held)) < AT_ONCE:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        first = cut(rows)
+        if len(first) > 1:
+            yield rows.slice(0, first[-1]), first[:-1]
+        held = [rows.slice(first[-1])]
+    if held:
+        rows = pa.concat_tables(held).combine_chunks()
+        yield rows, cut(rows)
+
+
+def _candidates(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, ys): rows that may be alike with a row x of their group. A pair counts in its first common word only."""
+    n, pos, own = (t.column(c).to_numpy() for c in ("n", "pos", "own"))
+    at, words_ = _flat(t, "earlier")
+    lo, hi = t.column("lo").to_numpy(), t.column("hi").to_numpy()
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(t)], strict=True):
+        if b - a < 2:
+            continue
+        if b - a <= FEW:
+            earlier = [frozenset(words_[at[k] : at[k + 1]].tolist()) for k in range(a, b)]
+            disjoint = None
+        else:  # which members have an earlier word in common: a product of 0/1 rows
+            code, inverse, times = np.unique(words_[at[a] : at[b]], return_inverse=True, return_counts=True)
+            more = (times > 1)[inverse]
+            row, column = np.repeat(np.arange(b - a), np.diff(at[a : b + 1]))[more], (np.cumsum(times > 1) - 1)[inverse][more]
+            disjoint = np.ones((b - a, b - a), bool)
+            for k in range(0, int((times > 1).sum()), 4096):
+                part = (column >= k) & (column < k + 4096)
+                held = np.zeros((b - a, min(4096, len(code))), np.float32)
+                held[row[part], column[part] - k] = 1
+                disjoint &= held @ held.T == 0
+        for x in range(a, b):
+            if lo[a] == hi[a]:
+                ys = np.arange(x + 1, b)
+            elif own[x] == lo[a]:
+                ys = a + np.flatnonzero(own[a:b] == hi[a])
+            else:
+                continue
+            most = np.minimum(n[x] - pos[x], n[ys] - pos[ys])  # words from here on, this one included
+            ys = ys[rule.enough(most, n[x], n[ys])]
+            if disjoint is None:
+                ys = np.array([y for y in ys.tolist() if earlier[x - a].isdisjoint(earlier[y - a])], np.int64)
+            else:
+                ys = ys[disjoint[x - a, ys - a]]
+            if len(ys):
+                yield x, ys
+
+
+def _links(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(x, ys, common): the candidates that are alike, counted on their whole sets."""
+    at, h = _flat(t, "h")
+    code = np.unique(h, return_inverse=True)[1]
+    mark = np.zeros(len(h) + 1, bool)
+    n = np.diff(at)
+    for x, ys in _candidates(t, first, rule):
+        mark[code[at[x] : at[x + 1]]] = True
+        sizes = n[ys]
+        ends = np.cumsum(sizes)
+        flat = np.arange(ends[-1]) + np.repeat(at[ys] - (ends - sizes), sizes)
+        common = np.add.reduceat(mark[code[flat]].astype(np.int64), ends - sizes)
+        mark[code[at[x] : at[x + 1]]] = False
+        alike = rule.enough(common, n[x], sizes)
+        if alike.any():
+            yield x, ys[alike], common[alike]
+
+
+_MEMBER = "word long, lo int, hi int, own int, fp binary, n long, pos int, earlier array<long>"
+
+
+def _likely(sets: DataFrame, rule: Overlap) -> DataFrame:
+    """Members of the words that several sets have among their first, by word and pair of chunks, if they have a candidate."""
+    classes = sets.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    entries = _kept(classes.select("fp", "n", F.posexplode("prefix").alias("pos", "word")))
+    shared = entries.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    by_set = entries.join(shared, "word").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c"))).alias("all"))
+    members = by_set.select("fp", "n", "all", F.posexplode("all").alias("k", "e")).select(
+        "fp", "n", "e.pos", "e.word", F.ceil(F.col("e.c") / CHUNK).cast("int").alias("g"), F.transform(F.slice("all", F.lit(1), F.col("k")), lambda x: x["word"]).alias("earlier")
+    )
+    members = members.withColumn("own", F.pmod(F.xxhash64("fp", "word"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = members.select("word", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "n", "pos", "earlier")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _groups(batches):
+            chosen = np.zeros(len(t), bool)
+            for x, ys in _candidates(t, first, rule):
+                chosen[x] = True
+                chosen[ys] = True
+            yield from t.filter(pa.array(chosen)).to_batches()
+
+    return _kept(dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi").mapInArrow(run, _MEMBER))
+
+
+def _compared(sets: DataFrame, rule: Overlap, emit, schema: str) -> DataFrame:
+    """What `emit` makes of each link; whole sets travel only for members with a candidate."""
+    likely = _likely(sets, rule)
+    asked = _kept(likely.select("fp").distinct())
+    few = asked.count() <= BROADCAST_ROWS
+    whole = sets.select("fp", "h").join(F.broadcast(asked) if few else asked, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h"))
+    keys = ("word", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _groups(batches):
+            yield emit(t, _links(t, first, rule))
+
+    return likely.join(whole, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def alike_pairs(docs: DataFrame, rule: Overlap = Overlap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """(a, b, n_a, n_b, common): pairs of different sets of words that are alike, each known by its smallest doc_id, a < b."""
+    sets = _word_sets(docs, rule, id_col, text_col)
+
+    def emit(t: pa.Table, links) -> pa.RecordBatch:
+        fp, n = t.column("fp").to_pylist(), t.column("n").to_numpy()
+        rows = [(fp[x], fp[y], n[x], n[y], c) for x, ys, common in links for y, c in zip(ys.tolist(), common.tolist(), strict=True)]
+        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["f", "g", "n_f", "n_g", "common"])
+
+    pairs = _compared(sets, rule, emit, "f binary, g binary, n_f long, n_g long, common long")
+    ids = sets.groupBy("fp").agg(F.min("doc_id").alias("id"))
+    pairs = pairs.join(ids.select(F.col("fp").alias("f"), F.col("id").alias("i")), "f").join(ids.select(F.col("fp").alias("g"), F.col("id").alias("j")), "g")
+    swap = F.col("i") > F.col("j")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("i", "j").alias("a"), pick("j", "i").alias("b"), pick("n_f", "n_g").alias("n_a"), pick("n_g", "n_f").alias("n_b"), "common")
+
+
+def alike_documents(docs: DataFrame, rule: Overlap = Overlap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
+    """doc_id, n_words, class_id, n_links for each row: its different words, the smallest doc_id with the same set of
+    words, and how many other sets are alike.
+
+    Two sets alike share one of their first words in an order from rare to frequent, so sets meet by these words only,
+    in pairs of chunks of a word's sets, and are left out there by size and by how many words can still follow. A
+    pair is compared once, in its first common word, on whole sets. No pair leaves a task, only counts.
+
+    Words are told apart by 64-bit hashes, sets by 128-bit digests. Rows without a word are classes of their own and
+    have no links; a null id is the smallest of a class only if no row of it has an id; repeated rows are one class;
+    texts of any length count whole, other columns are ignored; an empty table gives an empty result.
+    """
+    sets = _word_sets(docs, rule, id_col, text_col)
+
+    def emit(t: pa.Table, links) -> pa.RecordBatch:
+        counts = np.zeros(len(t), np.int64)
+        for x, ys, _ in links:
+            counts[x] += len(ys)
+            counts[ys] += 1
+        found = np.flatnonzero(counts)
+        return pa.record_batch([t.column("fp").combine_chunks().take(pa.array(found)), pa.array(counts[found])], names=["fp", "links"])
+
+    links = _compared(sets, rule, emit, "fp binary, links long").groupBy("fp").agg(F.sum("links").alias("links"))
+    classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")).join(links, "fp", "left")
+    classes = classes.select("fp", "id", F.coalesce("links", F.lit(0)).alias("links"))
+    own = F.col("n") == 0
+    return sets.select("doc_id", "fp", "n").join(classes, "fp", "left").select(
+        "doc_id", F.col("n").alias("n_words"), F.when(own, F.col("doc_id")).otherwise(F.col("id")).alias("class_id"), F.when(own, 0).otherwise(F.col("links")).alias("n_links")
+    )
+
+
 _SQL_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[ \t\n\r\v\f]+'), lambda x: x <> '')"""
 
@@ -117,3 +358,17 @@ def register_queries(r: Registry) -> None:
     )
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         return shared_ngrams(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+    @r.query(
+        "text_word_overlap",
+        f"""WITH w AS (SELECT doc_id, list_sort(list_distinct({_SQL_WORDS})) AS w FROM documents),
+        c AS (SELECT w, min(doc_id) AS id, len(w) AS n FROM w WHERE len(w) > 0 GROUP BY w),
+        u AS (SELECT id, n, unnest(w) AS x FROM c),
+        p AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON a.x = b.x AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n
+              GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 180 >= 80 * (a.n + b.n)),
+        l AS (SELECT id, count(*) AS links FROM (SELECT a AS id FROM p UNION ALL SELECT b FROM p) GROUP BY id)
+        SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(c.id, w.doc_id) AS class_id, CAST(coalesce(l.links, 0) AS BIGINT) AS n_links
+        FROM w LEFT JOIN c ON w.w = c.w LEFT JOIN l ON l.id = c.id""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return alike_documents(table(spark, sf_dir, "documents"))

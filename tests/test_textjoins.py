@@ -3,7 +3,7 @@
 import pytest
 
 from tessera.operators import textjoins
-from tessera.operators.textjoins import shared_ngrams
+from tessera.operators.textjoins import Overlap, alike_documents, alike_pairs, shared_ngrams
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -72,3 +72,64 @@ def test_filter_holds_all_and_little_else(spark):
     assert inside.filter(textjoins.might_hold(held, size, F.col("h"))).count() == 3000
     others = spark.range(10_000, 40_000).select(F.xxhash64("id").alias("h"))
     assert others.filter(textjoins.might_hold(held, size, F.col("h"))).count() < 600
+
+
+def overlap_by_brute_force(rows, percent):
+    """(doc_id, n_words, class_id, n_links) of each row, and the pairs of classes."""
+    sets = [frozenset(split(t)) for _, t in rows]
+    ids = {}
+    for (d, _), s in zip(rows, sets, strict=True):
+        ids[s] = d if ids.get(s) is None else ids[s] if d is None else min(ids[s], d)
+    links, pairs = dict.fromkeys(ids, 0), []
+    some = [s for s in ids if s]
+    for i, s in enumerate(some):
+        for t in some[:i]:
+            if 100 * len(s & t) >= percent * len(s | t):
+                links[s] += 1
+                links[t] += 1
+                a, b = sorted((s, t), key=lambda x: ids[x])
+                pairs.append((ids[a], ids[b], len(a), len(b), len(a & b)))
+    return sorted(((d, len(s), ids[s] if s else d, links[s]) for (d, _), s in zip(rows, sets, strict=True)), key=repr), sorted(pairs)
+
+
+def texts(seed):
+    """Sets that differ by few words, in groups that share rare words, and sets alike by none."""
+    import random
+
+    rng = random.Random(seed)
+    rare = [f"r{k}" for k in range(400)]
+    common = [f"c{k}" for k in range(20)]
+    rows = []
+    for g in range(12):
+        base = rng.sample(rare, rng.randint(1, 30)) + rng.sample(common, rng.randint(0, 12))
+        for _ in range(rng.randint(1, 25)):
+            own = [w for w in base if rng.random() > 0.06] + rng.sample(rare, rng.randint(0, 3))
+            rng.shuffle(own)
+            rows.append((len(rows), " ".join(w.upper() if rng.random() < 0.1 else w for w in own)))
+    passage = " ".join(f"p{k}" for k in range(6))
+    rows += [(1000 + k, passage + " " + " ".join(rng.sample(rare, 3 + k % 9))) for k in range(40)]
+    rows += [(2000 + k, rows[k][1]) for k in range(10)] + [rows[0], rows[0], (3000, None), (3001, ""), (3002, " \n"), (3003, "w " * 9000)]
+    return rows
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_word_overlap(spark, monkeypatch, small):
+    if small:  # words of several chunks, groups by product, an order that says little, ids shuffled
+        for name, value in (("CHUNK", 7), ("FEW", 3), ("COUNTERS", 4), ("AT_ONCE", 50), ("BROADCAST_ROWS", 0)):
+            monkeypatch.setattr(textjoins, name, value)
+    rows = texts(4)
+    for percent in (80, 50):
+        docs, pairs = overlap_by_brute_force(rows, percent)
+        df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, h string, n int").repartition(5)
+        assert sorted(map(tuple, alike_documents(df, Overlap(percent)).collect()), key=repr) == docs
+        assert sorted(map(tuple, alike_pairs(df, Overlap(percent)).collect())) == pairs and len(pairs) > 300
+    assert alike_documents(df.limit(0)).collect() == []
+
+
+def test_null_ids_and_candidates(spark):
+    rows = [(None, "a b c d e f"), (5, "a b c d e f"), (None, "q r s"), (7, "q r s t u v w x"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, alike_documents(df).collect()), key=repr) == overlap_by_brute_force(rows, 80)[0]
+    # sets that share only frequent words never meet, whatever their number
+    apart = spark.createDataFrame([(k, " ".join(["the", "of", "and", *(f"x{k}y{j}" for j in range(17))])) for k in range(300)], "doc_id long, text string")
+    assert textjoins._likely(textjoins._word_sets(apart, Overlap(), "doc_id", "text"), Overlap()).count() == 0
