@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import string
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,8 +24,8 @@ BITS, PROBES = 16, 3
 
 def words(text: Column) -> Column:
     """The words of a text between ASCII white space, A-Z lower-cased; null has none."""
-    plain = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
-    return F.filter(F.split(F.coalesce(plain, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    plain = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase + "\t\n\v\f\r", string.ascii_lowercase + " " * 5)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _starts(w: Column, n: int) -> Column:
@@ -141,9 +142,7 @@ def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> Da
     hold, from a table of fixed size.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    distinct = F.sort_array(F.array_distinct(words(F.col(text_col))))
-    sets = docs.select(F.col(id_col).alias("doc_id"), distinct.alias("w"))
-    sets = sets.select("doc_id", F.unhex(F.md5(F.array_join("w", " ").cast("binary"))).alias("fp"), F.array_distinct(F.transform("w", lambda x: F.xxhash64(x))).alias("h"))
+    sets = docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x))).alias("h"))
     cells = sets.select(F.explode("h").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("cell")).agg(F.count(F.lit(1)).alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
@@ -156,10 +155,11 @@ def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> Da
             at, h = _flat(batch, "h")
             n = np.diff(at)
             h = h[np.lexsort((h, shared.value[h % COUNTERS], np.repeat(np.arange(len(n)), n)))]
+            fps = pa.array([hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
             p = rule.prefix(n)
             first = h[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(p, n)]
             lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64())) for o, v in ((np.append(0, np.cumsum(p)), first), (at, h))]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64()), *lists], names=["doc_id", "fp", "n", "prefix", "h"])
+            yield pa.record_batch([batch.column("doc_id"), fps, pa.array(n, pa.int64()), *lists], names=["doc_id", "fp", "n", "prefix", "h"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
     return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, h array<long>"))
@@ -248,20 +248,54 @@ def _links(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tuple[int,
             yield x, ys[alike], common[alike]
 
 
-_MEMBER = "word long, lo int, hi int, own int, fp binary, n long, pos int, earlier array<long>"
+def _close(t: pa.Table, first: np.ndarray, rule: Overlap) -> np.ndarray:
+    """Which rows have another in their group that size and place leave: all groups at once, one step further apart a round."""
+    n, pos, own, lo, hi = (t.column(c).to_numpy() for c in ("n", "pos", "own", "lo", "hi"))
+    size = np.diff(np.append(first, len(t)))
+    last = np.repeat(first + size, size)
+    found = np.zeros(len(t), bool)
+    rows, step = np.arange(len(t)), 1
+    while len(rows := rows[rows + step < last[rows]]):
+        other = rows + step
+        ok = rule.enough(np.minimum(n[rows] - pos[rows], n[other] - pos[other]), n[rows], n[other])
+        ok &= (lo[rows] == hi[rows]) | (own[rows] != own[other])
+        found[rows[ok]] = True
+        found[other[ok]] = True
+        step += 1
+    return found
+
+
+def _chunked(members: DataFrame) -> DataFrame:
+    """`members` (word, fp, ...) with c, the word's members, dealt by word and pair of chunks of its members."""
+    g = F.ceil(F.col("c") / CHUNK).cast("int")
+    own = members.withColumn("own", F.pmod(F.xxhash64("fp", "word"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
+    dealt = own.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
+    return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
+
+
+def _counted(entries: DataFrame) -> DataFrame:
+    """`entries` of the words that several have, with their number, c."""
+    counts = entries.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    return entries.join(counts, "word")
 
 
 def _likely(sets: DataFrame, rule: Overlap) -> DataFrame:
-    """Members of the words that several sets have among their first, by word and pair of chunks, if they have a candidate."""
+    """Members of the words that several sets have among their first, by word and pair of chunks, if they have a candidate.
+
+    Size and place decide first, on rows of a few numbers. What they leave is little; only that is grouped by set
+    again, so that each member knows the earlier words that it shares with others.
+    """
     classes = sets.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     entries = _kept(classes.select("fp", "n", F.posexplode("prefix").alias("pos", "word")))
-    shared = entries.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    by_set = entries.join(shared, "word").groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c"))).alias("all"))
-    members = by_set.select("fp", "n", "all", F.posexplode("all").alias("k", "e")).select(
-        "fp", "n", "e.pos", "e.word", F.ceil(F.col("e.c") / CHUNK).cast("int").alias("g"), F.transform(F.slice("all", F.lit(1), F.col("k")), lambda x: x["word"]).alias("earlier")
-    )
-    members = members.withColumn("own", F.pmod(F.xxhash64("fp", "word"), "g").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = members.select("word", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "fp", "n", "pos", "earlier")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _groups(batches):
+            yield from t.filter(pa.array(_close(t, first, rule))).select(["fp", "n", "pos", "word"]).to_batches()
+
+    left = _kept(_chunked(_counted(entries)).mapInArrow(near, "fp binary, n long, pos int, word long").distinct())
+    by_set = _counted(left).groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c"))).alias("all"))
+    earlier = F.transform(F.slice("all", F.lit(1), F.col("k")), lambda x: x["word"])
+    members = by_set.select("fp", "n", "all", F.posexplode("all").alias("k", "e")).select("fp", "n", "e.pos", "e.word", "e.c", earlier.alias("earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, first in _groups(batches):
@@ -271,7 +305,8 @@ def _likely(sets: DataFrame, rule: Overlap) -> DataFrame:
                 chosen[ys] = True
             yield from t.filter(pa.array(chosen)).to_batches()
 
-    return _kept(dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi").mapInArrow(run, _MEMBER))
+    dealt = _chunked(members)
+    return _kept(dealt.mapInArrow(run, dealt.schema))
 
 
 def _compared(sets: DataFrame, rule: Overlap, emit, schema: str) -> DataFrame:
