@@ -135,14 +135,40 @@ def _flat(batch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py(), lists.flatten().to_numpy()
 
 
+def _hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, h): the hashes of each row's different words."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x))).alias("h"))
+
+
+def _digest(h: np.ndarray) -> bytes:
+    """128 bits that tell a set of hashes from others."""
+    return hashlib.blake2b(np.sort(h), digest_size=16).digest()
+
+
+def _signature(h: np.ndarray) -> bytes:
+    """A bitmap of the set with two to four bits a word."""
+    bits = np.zeros(max(8, 2 << max(len(h) - 1, 0).bit_length()), np.uint8)
+    bits[h & (len(bits) - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
+def _most_common(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
+    """How many words two sets can have in common at most, by their signatures."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, n, prefix, h): a digest of each row's set of words, its size, and the words' hashes, rarest first.
+    """(doc_id, fp, n, prefix, sig): each row's set of words by digest, its size, its first words and its signature.
 
-    Rare means a small counter of those that all words are hashed to: one order for all sets, whatever the counters
-    hold, from a table of fixed size.
+    The words are in an order from rare to frequent, by a small counter of those that all words are hashed to: one
+    order for all sets, whatever the counters hold, from a table of fixed size.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sets = docs.select(F.col(id_col).alias("doc_id"), F.array_distinct(F.transform(words(F.col(text_col)), lambda x: F.xxhash64(x))).alias("h"))
+    sets = _hashes(docs, id_col, text_col)
     cells = sets.select(F.explode("h").alias("x")).groupBy(F.pmod("x", F.lit(COUNTERS)).alias("cell")).agg(F.count(F.lit(1)).alias("c")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
@@ -154,15 +180,22 @@ def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> Da
                 continue
             at, h = _flat(batch, "h")
             n = np.diff(at)
+            own = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            digests = [pa.array([f(x) for x in own], pa.binary()) for f in (_digest, _signature)]
             h = h[np.lexsort((h, shared.value[h % COUNTERS], np.repeat(np.arange(len(n)), n)))]
-            fps = pa.array([hashlib.blake2b(h[a:b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
             p = rule.prefix(n)
             first = h[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(p, n)]
-            lists = [pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64())) for o, v in ((np.append(0, np.cumsum(p)), first), (at, h))]
-            yield pa.record_batch([batch.column("doc_id"), fps, pa.array(n, pa.int64()), *lists], names=["doc_id", "fp", "n", "prefix", "h"])
+            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(p)), pa.int32()), pa.array(first, pa.int64()))
+            yield pa.record_batch([batch.column("doc_id"), digests[0], pa.array(n, pa.int64()), first, digests[1]], names=["doc_id", "fp", "n", "prefix", "sig"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, h array<long>"))
+    return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, sig binary"))
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    """(cls, fp, id, n, prefix, sig): a row for each set that is not empty, numbered, with its smallest doc_id."""
+    by = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "prefix", "sig")))
+    return _kept(by.withColumn("cls", F.monotonically_increasing_id()))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -265,78 +298,108 @@ def _close(t: pa.Table, first: np.ndarray, rule: Overlap) -> np.ndarray:
     return found
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """`ids`, to be broadcast if they are few."""
+    ids = _kept(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def _chunked(members: DataFrame) -> DataFrame:
-    """`members` (word, fp, ...) with c, the word's members, dealt by word and pair of chunks of its members."""
-    g = F.ceil(F.col("c") / CHUNK).cast("int")
-    own = members.withColumn("own", F.pmod(F.xxhash64("fp", "word"), g).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), g - 1)))
-    dealt = own.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other")
-    return dealt.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
+    """`members` (word, cls, ...) sorted by word and pair of chunks of its members; nearly all words have one chunk."""
+    many = members.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > CHUNK)
+    g = F.coalesce(F.ceil(F.col("c") / CHUNK).cast("int"), F.lit(1))
+    own = members.join(_few(many), "word", "left").withColumn("own", F.pmod(F.xxhash64("cls", "word"), g).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), g - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    return _sorted(dealt.drop("c", "other"))
+
 
+def _sorted(members: DataFrame) -> DataFrame:
+    return members.repartition("word", "lo", "hi").sortWithinPartitions("word", "lo", "hi")
 
-def _counted(entries: DataFrame) -> DataFrame:
-    """`entries` of the words that several have, with their number, c."""
-    counts = entries.groupBy("word").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-    return entries.join(counts, "word")
 
+def _chosen(pairs, rows: int) -> pa.Array:
+    """The rows that stand in a pair."""
+    found = np.zeros(rows, bool)
+    for x, ys in pairs:
+        found[x] = True
+        found[ys] = True
+    return pa.array(found)
 
-def _likely(sets: DataFrame, rule: Overlap) -> DataFrame:
+
+def _by_signature(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tuple[int, np.ndarray]]:
+    """The candidates whose signatures leave enough words in common."""
+    n, sig = t.column("n").to_numpy(), [np.frombuffer(x, np.uint8) for x in t.column("sig").to_pylist()]
+    for x, ys in _candidates(t, first, rule):
+        most = np.array([_most_common(sig[x], n[x], sig[y], n[y]) for y in ys.tolist()])
+        if len(ys := ys[rule.enough(most, n[x], n[ys])]):
+            yield x, ys
+
+
+def _likely(classes: DataFrame, rule: Overlap) -> DataFrame:
     """Members of the words that several sets have among their first, by word and pair of chunks, if they have a candidate.
 
     Size and place decide first, on rows of a few numbers. What they leave is little; only that is grouped by set
-    again, so that each member knows the earlier words that it shares with others.
+    again, so that each member knows the earlier words that it shares with others. Signatures decide last.
     """
-    classes = sets.filter("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    entries = _kept(classes.select("fp", "n", F.posexplode("prefix").alias("pos", "word")))
+    entries = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "word"))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, first in _groups(batches):
-            yield from t.filter(pa.array(_close(t, first, rule))).select(["fp", "n", "pos", "word"]).to_batches()
+            yield from t.filter(pa.array(_close(t, first, rule))).select(["cls", "n", "pos", "word"]).to_batches()
 
-    left = _kept(_chunked(_counted(entries)).mapInArrow(near, "fp binary, n long, pos int, word long").distinct())
-    by_set = _counted(left).groupBy("fp", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "word", "c"))).alias("all"))
+    left = _chunked(entries).mapInArrow(near, "cls long, n long, pos int, word long")
+    by_set = left.groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("all"))
     earlier = F.transform(F.slice("all", F.lit(1), F.col("k")), lambda x: x["word"])
-    members = by_set.select("fp", "n", "all", F.posexplode("all").alias("k", "e")).select("fp", "n", "e.pos", "e.word", "e.c", earlier.alias("earlier"))
+    members = _kept(by_set.select("cls", "n", "all", F.posexplode("all").alias("k", "e")).select("cls", "n", "e.pos", "e.word", earlier.alias("earlier")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, first in _groups(batches):
-            chosen = np.zeros(len(t), bool)
-            for x, ys in _candidates(t, first, rule):
-                chosen[x] = True
-                chosen[ys] = True
-            yield from t.filter(pa.array(chosen)).to_batches()
+            yield from t.filter(_chosen(_candidates(t, first, rule), len(t))).to_batches()
 
     dealt = _chunked(members)
-    return _kept(dealt.mapInArrow(run, dealt.schema))
+    found = _kept(dealt.mapInArrow(first_common, dealt.schema))
+    names = found.columns
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, first in _groups(batches):
+            yield from t.filter(_chosen(_by_signature(t, first, rule), len(t))).select(names).to_batches()
 
+    return _kept(_sorted(found.join(classes.select("cls", "sig"), "cls")).mapInArrow(signed, found.schema))
 
-def _compared(sets: DataFrame, rule: Overlap, emit, schema: str) -> DataFrame:
-    """What `emit` makes of each link; whole sets travel only for members with a candidate."""
-    likely = _likely(sets, rule)
-    asked = _kept(likely.select("fp").distinct())
-    few = asked.count() <= BROADCAST_ROWS
-    whole = sets.select("fp", "h").join(F.broadcast(asked) if few else asked, "fp", "left_semi").groupBy("fp").agg(F.first("h").alias("h"))
-    keys = ("word", "lo", "hi")
+
+def _compared(docs: DataFrame, classes: DataFrame, rule: Overlap, id_col: str, text_col: str, emit, schema: str) -> DataFrame:
+    """What `emit` makes of each link; whole sets are read again, and travel, only for members with a candidate."""
+    likely = _likely(classes, rule)
+    asked = _few(classes.join(likely.select("cls").distinct(), "cls", "left_semi").select("cls", "fp", "id"))
+    rows = _hashes(docs.join(asked.select("id"), docs[id_col].eqNullSafe(F.col("id")), "left_semi"), id_col, text_col)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, h = _flat(batch, "h")
+            fps = [_digest(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch([pa.array(fps, pa.binary()), batch.column("h")], names=["fp", "h"])
+
+    whole = rows.select("h").mapInArrow(digest, "fp binary, h array<long>").join(asked.select("cls", "fp"), "fp").groupBy("cls").agg(F.first("h").alias("h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, first in _groups(batches):
             yield emit(t, _links(t, first, rule))
 
-    return likely.join(whole, "fp").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return _sorted(likely.join(whole, "cls")).mapInArrow(run, schema)
 
 
 def alike_pairs(docs: DataFrame, rule: Overlap = Overlap(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008
     """(a, b, n_a, n_b, common): pairs of different sets of words that are alike, each known by its smallest doc_id, a < b."""
-    sets = _word_sets(docs, rule, id_col, text_col)
+    classes = _classes(_word_sets(docs, rule, id_col, text_col))
 
     def emit(t: pa.Table, links) -> pa.RecordBatch:
-        fp, n = t.column("fp").to_pylist(), t.column("n").to_numpy()
-        rows = [(fp[x], fp[y], n[x], n[y], c) for x, ys, common in links for y, c in zip(ys.tolist(), common.tolist(), strict=True)]
-        kinds = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["f", "g", "n_f", "n_g", "common"])
-
-    pairs = _compared(sets, rule, emit, "f binary, g binary, n_f long, n_g long, common long")
-    ids = sets.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    pairs = pairs.join(ids.select(F.col("fp").alias("f"), F.col("id").alias("i")), "f").join(ids.select(F.col("fp").alias("g"), F.col("id").alias("j")), "g")
+        cls, n = t.column("cls").to_numpy(), t.column("n").to_numpy()
+        rows = [(cls[x], cls[y], n[x], n[y], c) for x, ys, common in links for y, c in zip(ys.tolist(), common.tolist(), strict=True)]
+        return pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["f", "g", "n_f", "n_g", "common"])
+
+    pairs = _compared(docs, classes, rule, id_col, text_col, emit, "f long, g long, n_f long, n_g long, common long")
+    side = lambda cls, as_: classes.select(F.col("cls").alias(cls), F.col("id").alias(as_))
+    pairs = pairs.join(side("f", "i"), "f").join(side("g", "j"), "g")
     swap = F.col("i") > F.col("j")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
     return pairs.select(pick("i", "j").alias("a"), pick("j", "i").alias("b"), pick("n_f", "n_g").alias("n_a"), pick("n_g", "n_f").alias("n_b"), "common")
@@ -362,11 +425,11 @@ def alike_documents(docs: DataFrame, rule: Overlap = Overlap(), id_col: str = "d
             counts[x] += len(ys)
             counts[ys] += 1
         found = np.flatnonzero(counts)
-        return pa.record_batch([t.column("fp").combine_chunks().take(pa.array(found)), pa.array(counts[found])], names=["fp", "links"])
+        return pa.record_batch([t.column("cls").combine_chunks().take(pa.array(found)), pa.array(counts[found])], names=["cls", "links"])
 
-    links = _compared(sets, rule, emit, "fp binary, links long").groupBy("fp").agg(F.sum("links").alias("links"))
-    classes = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id")).join(links, "fp", "left")
-    classes = classes.select("fp", "id", F.coalesce("links", F.lit(0)).alias("links"))
+    classes = _classes(sets)
+    links = _compared(docs, classes, rule, id_col, text_col, emit, "cls long, links long").groupBy("cls").agg(F.sum("links").alias("links"))
+    classes = classes.select("cls", "fp", "id").join(links, "cls", "left").select("fp", "id", F.coalesce("links", F.lit(0)).alias("links"))
     own = F.col("n") == 0
     return sets.select("doc_id", "fp", "n").join(classes, "fp", "left").select(
         "doc_id", F.col("n").alias("n_words"), F.when(own, F.col("doc_id")).otherwise(F.col("id")).alias("class_id"), F.when(own, 0).otherwise(F.col("links")).alias("n_links")

@@ -132,4 +132,4 @@ def test_null_ids_and_candidates(spark):
     assert sorted(map(tuple, alike_documents(df).collect()), key=repr) == overlap_by_brute_force(rows, 80)[0]
     # sets that share only frequent words never meet, whatever their number
     apart = spark.createDataFrame([(k, " ".join(["the", "of", "and", *(f"x{k}y{j}" for j in range(17))])) for k in range(300)], "doc_id long, text string")
-    assert textjoins._likely(textjoins._word_sets(apart, Overlap(), "doc_id", "text"), Overlap()).count() == 0
+    assert textjoins._likely(textjoins._classes(textjoins._word_sets(apart, Overlap(), "doc_id", "text")), Overlap()).count() == 0
