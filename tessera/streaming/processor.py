@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -31,3 +32,67 @@ def counting(events: DataFrame) -> DataFrame:
     """A stream of (user_id, n) updates."""
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     return events.groupBy("user_id").transformWithStateInPandas(Counter(), "user_id long, n long", "Update", "None")
+
+
+#: Microseconds that a click waits for a purchase.
+WAIT = 6 * 3_600_000_000
+
+
+class Funnel(StatefulProcessor):
+    """Each click of a key with the first purchase within WAIT, or with none.
+
+    Rows wait in a list until the watermark has passed them and are then taken in order of time, so what comes out
+    depends neither on batches nor on the order within them. Open clicks stand in a map until a purchase or their
+    expiry. One event-time timer a key is set at a time, for the earliest row or expiry that is still ahead.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        row = StructType([StructField("event_id", LongType()), StructField("at", LongType()), StructField("buys", LongType())])
+        self.waiting = handle.getListState("waiting", row)
+        self.open = handle.getMapState("open", StructType([StructField("click", LongType())]), StructType([StructField("at", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = [(int(i), int(at), int(b)) for pdf in rows for i, at, b in zip(pdf["event_id"], pdf["at"], pdf["buys"], strict=True)]
+        if new:
+            self.waiting.appendList(new)
+            self.handle.registerTimer(min(at for _, at, _ in new) // 1000 + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        clicks = {k[0]: v[0] for k, v in self.open.iterator()} if self.open.exists() else {}
+        before, found = dict(clicks), []
+        for event, at, buys in sorted((r for r in rows if r[1] < mark), key=lambda r: (r[1], r[0])):
+            if not buys:
+                clicks[event] = at
+                continue
+            for click in [c for c, t in clicks.items()]:
+                found.append((click, event if clicks.pop(click) + WAIT >= at else None))
+        found += [(c, None) for c, t in clicks.items() if t + WAIT < mark]
+        clicks = {c: t for c, t in clicks.items() if t + WAIT >= mark}
+        ahead = [r for r in rows if r[1] >= mark]
+        self.waiting.clear()
+        if ahead:
+            self.waiting.put(ahead)
+        for click in before.keys() - clicks.keys():
+            self.open.removeKey((click,))
+        for click in clicks.keys() - before.keys():
+            self.open.updateValue((click,), (clicks[click],))
+        next_ = [at for _, at, _ in ahead] + [t + WAIT for t in clicks.values()]
+        if next_:
+            self.handle.registerTimer(max(min(next_), mark) // 1000 + 1)
+        if found:
+            yield pd.DataFrame({"click": [c for c, _ in found], "purchase": pd.array([p for _, p in found], "Int64")})
+
+    def close(self) -> None:
+        pass
+
+
+def funnel(events: DataFrame) -> DataFrame:
+    """A stream of (click, purchase) from a watermarked stream of event_id, user_id, event_type and ts."""
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    steps = events.filter("event_type IN ('click', 'purchase')")
+    steps = steps.select("event_id", "user_id", "ts", F.unix_micros("ts").alias("at"), (F.col("event_type") == "purchase").cast("long").alias("buys"))
+    return steps.groupBy("user_id").transformWithStateInPandas(Funnel(), "click long, purchase long", "Append", "EventTime")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,10 +18,55 @@ from tessera.sources.files import scratch
 def event_stream(spark: SparkSession, sf_dir: str, files_per_batch: int | None = None) -> DataFrame:
     """`events` as a stream; `ts` becomes a zoned timestamp, as a watermark needs."""
     schema = table(spark, sf_dir, "events").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    # as a pattern the path may name a file or, as Spark writes tables, a folder
+    return reader.parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def run_in_steps(steps: Iterable[DataFrame], build: Callable[[DataFrame], DataFrame], broken: Callable[[int], None] | None = None, tries: int = 1) -> DataFrame:
+    """Plays the tables of `steps` into a folder one after the other and returns all rows that `build`'s stream appends.
+
+    The stream of that folder is stopped after each step and goes on from its checkpoint at the next, so its watermark
+    and state outlive it. Each batch writes a folder of its own and replaces what an attempt before left there; so a
+    batch that fails after it has written (`broken` is called then, with its number) is counted once when run again. A
+    failed stream is started again until it has been tried `tries` times.
+    """
+    source, sink, out = None, None, None
+    for step in steps:
+        spark = step.sparkSession
+        if source is None:
+            source, sink = scratch(spark), scratch(spark)
+        step.write.mode("append").parquet(source)
+        out = build(spark.readStream.schema(step.schema).parquet(source))
+
+        def keep(batch: DataFrame, number: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            if broken:
+                broken(number)
+
+        for left in range(tries - 1, -1, -1):
+            try:
+                out.writeStream.option("checkpointLocation", f"{sink}-state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+                break
+            except StreamingQueryException:
+                if not left:
+                    raise
+    if out is None:
+        raise ValueError("no steps")
+    return spark.read.schema(out.schema).parquet(sink).drop("batch")
+
+
+def arrivals(events: DataFrame, delay: Column, steps: int) -> list[DataFrame]:
+    """`events` in `steps` parts, equal spans of the time at which they arrive, `delay` microseconds after `ts`."""
+    at = F.unix_micros("ts") + delay
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return [events]
+    span = last - first + 1
+    since = (at - first) * steps
+    return [events.filter((since >= k * span) & (since < (k + 1) * span)) for k in range(steps)]
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -145,6 +191,43 @@ def register_queries(r: Registry) -> None:
 
         return run_to_end(counting(event_stream(spark, sf_dir)), "update").groupBy("user_id").agg(F.max("n").alias("n"))
 
+    # every tenth event comes five hours late; a row is dropped if its window has ended an hour before the last event of
+    # the parts before its own
+    @r.query(
+        "stream_replayed_late",
+        """WITH a AS (SELECT *, epoch_us(ts) + CASE WHEN event_id % 10 = 0 THEN 18000000000 ELSE 0 END AS arrives FROM events),
+        b AS (SELECT *, ((arrives - min(arrives) OVER ()) * 6) // (max(arrives) OVER () - min(arrives) OVER () + 1) AS part FROM a),
+        m AS (SELECT part, max(ts) AS last FROM b GROUP BY part),
+        w AS (SELECT p.part, date_trunc('milliseconds', max(m.last)) - INTERVAL 1 HOUR AS mark FROM range(1, 7) p(part), m WHERE m.part < p.part GROUP BY p.part)
+        SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM b LEFT JOIN w USING (part)
+        WHERE (mark IS NULL OR date_trunc('hour', ts) + INTERVAL 1 HOUR > mark)
+        AND date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT mark FROM w WHERE part = 6) GROUP BY 1, 2""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        def hourly(stream: DataFrame) -> DataFrame:
+            marked = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 hour")
+            return marked.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+
+        events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+        late = F.when(F.col("event_id") % 10 == 0, 5 * 3_600_000_000).otherwise(0)
+        parts = [p.select("event_id", "event_type", "ts") for p in arrivals(events, late, 6)]
+        return run_in_steps(parts, hourly).select(utc("w.start").alias("start"), "event_type", "n")
+
+    # each click and the first purchase of its user within six hours, or none; known once the watermark has passed either
+    @r.query(
+        "stream_state_funnel",
+        """WITH m AS (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR AS mark FROM events WHERE event_type IN ('click', 'purchase')),
+        j AS (SELECT c.event_id AS click, c.ts, min(p.ts) AS bought, arg_min(p.event_id, (p.ts, p.event_id)) AS purchase
+        FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts <= c.ts + INTERVAL 6 HOUR
+        AND (p.ts > c.ts OR p.ts = c.ts AND p.event_id > c.event_id) WHERE c.event_type = 'click' GROUP BY 1, 2)
+        SELECT click, purchase FROM j, m WHERE coalesce(bought, j.ts + INTERVAL 6 HOUR) < mark""",
+    )
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from tessera.streaming.processor import funnel
+
+        events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "user_id", "event_type", "ts")
+        return run_in_steps(arrivals(events, F.lit(0), 3), lambda stream: funnel(stream.withWatermark("ts", "1 hour")))
+
     @r.query("stream_update_mode", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
         by = event_stream(spark, sf_dir).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
