@@ -117,6 +117,8 @@ class Overlap:
 
 #: Counters that words are hashed to for their order, members of a chunk of a word's sets, rows up to which ids are broadcast.
 COUNTERS, CHUNK, BROADCAST_ROWS = 1 << 20, 1024, 1_000_000
+#: Bits of the bitmap of a set's first words.
+MARK = 512
 #: Bytes of the batches that go to Python, rows that are compared at once, and members up to which pairs are listed.
 BATCH_BYTES, AT_ONCE, FEW = 16 << 20, 50_000, 64
 
@@ -153,6 +155,13 @@ def _signature(h: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _mark(prefix: np.ndarray) -> bytes:
+    """A bitmap of a set's first words, of one size for all."""
+    bits = np.zeros(MARK, np.uint8)
+    bits[prefix & (MARK - 1)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def _most_common(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
     """How many words two sets can have in common at most, by their signatures."""
     while len(x) > len(y):
@@ -163,7 +172,7 @@ def _most_common(x: np.ndarray, n: int, y: np.ndarray, m: int) -> int:
 
 
 def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, fp, n, prefix, sig): each row's set of words by digest, its size, its first words and its signature.
+    """(doc_id, fp, n, prefix, mark, sig): each row's set of words by digest, its size, its first words and two bitmaps.
 
     The words are in an order from rare to frequent, by a small counter of those that all words are hashed to: one
     order for all sets, whatever the counters hold, from a table of fixed size.
@@ -185,16 +194,18 @@ def _word_sets(docs: DataFrame, rule: Overlap, id_col: str, text_col: str) -> Da
             h = h[np.lexsort((h, shared.value[h % COUNTERS], np.repeat(np.arange(len(n)), n)))]
             p = rule.prefix(n)
             first = h[np.arange(len(h)) - np.repeat(at[:-1], n) < np.repeat(p, n)]
-            first = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(p)), pa.int32()), pa.array(first, pa.int64()))
-            yield pa.record_batch([batch.column("doc_id"), digests[0], pa.array(n, pa.int64()), first, digests[1]], names=["doc_id", "fp", "n", "prefix", "sig"])
+            ends = np.append(0, np.cumsum(p))
+            marks = pa.array([_mark(first[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            first = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(first, pa.int64()))
+            yield pa.record_batch([batch.column("doc_id"), digests[0], pa.array(n, pa.int64()), first, marks, digests[1]], names=["doc_id", "fp", "n", "prefix", "mark", "sig"])
 
     kind = sets.schema["doc_id"].dataType.simpleString()
-    return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, sig binary"))
+    return _kept(sets.mapInArrow(run, f"doc_id {kind}, fp binary, n long, prefix array<long>, mark binary, sig binary"))
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """(cls, fp, id, n, prefix, sig): a row for each set that is not empty, numbered, with its smallest doc_id."""
-    by = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "prefix", "sig")))
+    """(cls, fp, id, n, prefix, mark, sig): a row for each set that is not empty, numbered, with its smallest doc_id."""
+    by = sets.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("n", "prefix", "mark", "sig")))
     return _kept(by.withColumn("cls", F.monotonically_increasing_id()))
 
 
@@ -282,8 +293,15 @@ def _links(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tuple[int,
 
 
 def _close(t: pa.Table, first: np.ndarray, rule: Overlap) -> np.ndarray:
-    """Which rows have another in their group that size and place leave: all groups at once, one step further apart a round."""
+    """Which rows have another in their group that size and place leave: all groups at once, one step further apart a round.
+
+    With marks, these decide too. Of two sets, take the one whose first words end earlier in the order: what both have
+    is among the first words of both, or among its other words. Each bit that only one mark has is a first word that the
+    other lacks.
+    """
     n, pos, own, lo, hi = (t.column(c).to_numpy() for c in ("n", "pos", "own", "lo", "hi"))
+    marks = np.frombuffer(b"".join(t.column("mark").to_pylist()), np.uint64).reshape(len(t), -1) if "mark" in t.column_names else None
+    p = rule.prefix(n)
     size = np.diff(np.append(first, len(t)))
     last = np.repeat(first + size, size)
     found = np.zeros(len(t), bool)
@@ -292,6 +310,12 @@ def _close(t: pa.Table, first: np.ndarray, rule: Overlap) -> np.ndarray:
         other = rows + step
         ok = rule.enough(np.minimum(n[rows] - pos[rows], n[other] - pos[other]), n[rows], n[other])
         ok &= (lo[rows] == hi[rows]) | (own[rows] != own[other])
+        if marks is not None:
+            x, y = rows[ok], other[ok]
+            both = marks[x] & marks[y]
+            lacks = [np.bitwise_count(marks[k] ^ both).sum(1).astype(np.int64) for k in (x, y)]
+            most = np.minimum(p[x] - lacks[0], p[y] - lacks[1]) + np.maximum(n[x] - p[x], n[y] - p[y])
+            ok[ok] = rule.enough(most, n[x], n[y])
         found[rows[ok]] = True
         found[other[ok]] = True
         step += 1
@@ -338,8 +362,9 @@ def _by_signature(t: pa.Table, first: np.ndarray, rule: Overlap) -> Iterator[tup
 def _likely(classes: DataFrame, rule: Overlap) -> DataFrame:
     """Members of the words that several sets have among their first, by word and pair of chunks, if they have a candidate.
 
-    Size and place decide first, on rows of a few numbers. What they leave is little; only that is grouped by set
-    again, so that each member knows the earlier words that it shares with others. Signatures decide last.
+    Size and place decide first, on rows of a few numbers, then the marks of the first words. What they leave is
+    little; only that is grouped by set again, so that each member knows the earlier words that it shares with others.
+    Signatures of the whole sets decide last.
     """
     entries = classes.select("cls", "n", F.posexplode("prefix").alias("pos", "word"))
 
@@ -347,7 +372,9 @@ def _likely(classes: DataFrame, rule: Overlap) -> DataFrame:
         for t, first in _groups(batches):
             yield from t.filter(pa.array(_close(t, first, rule))).select(["cls", "n", "pos", "word"]).to_batches()
 
-    left = _chunked(entries).mapInArrow(near, "cls long, n long, pos int, word long")
+    schema = "cls long, n long, pos int, word long"
+    near_by = _kept(_chunked(entries).mapInArrow(near, schema).distinct())
+    left = _chunked(near_by.join(classes.select("cls", "mark"), "cls")).mapInArrow(near, schema)
     by_set = left.groupBy("cls", "n").agg(F.array_sort(F.collect_set(F.struct("pos", "word"))).alias("all"))
     earlier = F.transform(F.slice("all", F.lit(1), F.col("k")), lambda x: x["word"])
     members = _kept(by_set.select("cls", "n", "all", F.posexplode("all").alias("k", "e")).select("cls", "n", "e.pos", "e.word", earlier.alias("earlier")))
