@@ -259,8 +259,6 @@ def components(links: DataFrame) -> DataFrame:
 
 #: Members and shingles of a chunk of a bucket, about; two chunks meet in one task.
 CHUNK_MEMBERS, CHUNK_SHINGLES = 512, 1 << 19
-#: Chunks of a bucket beyond which its members meet by a second band instead of all.
-SPLIT_CHUNKS = 16
 
 
 def _dealt(roles: DataFrame) -> DataFrame:
@@ -276,14 +274,6 @@ def _dealt(roles: DataFrame) -> DataFrame:
     return cut(look_up(roles, ["key", "cell"], sizes, F.col("rep")).filter("gl > 0 AND c > 1").drop("c"))
 
 
-def _by_second_band(roles: DataFrame, reps: DataFrame, rule: Rule) -> DataFrame:
-    """`roles` in buckets of two bands: that of their bucket, and each later one."""
-    width = 2 * rule.rows
-    later = F.explode(F.sequence(F.col("band") + 1, F.lit(rule.bands - 1))).alias("second")
-    found = roles.filter(F.col("band") < rule.bands - 1).join(reps.select("rep", "sig"), "rep").select("key", "cell", "band", later, "rep", "label", "odd", "n", "sig")
-    return found.withColumn("key", F.xxhash64("key", "second", F.substring("sig", F.col("second") * width + 1, F.lit(width)))).drop("sig")
-
-
 def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
     """Links between documents of one bucket that the links so far leave in different components.
 
@@ -291,12 +281,8 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
     set size allows a link, chunk by chunk, so a bucket of any size is many tasks. Sizes are cut into levels, a
     factor of the threshold apart: two sets that can be linked lie in one level or in adjacent ones. Pairs in one
     component are passed over, the others estimated and verified on full sets; a chunk pair returns at most one
-    link per component it joins, never all pairs. A pair is tried in its first common band only.
-
-    Where a bucket has more than SPLIT_CHUNKS chunks of a size (a passage that many unlike documents share gives them
-    the same registers), its members are dealt again by each later band, and a pair meets in its first two common
-    bands. So the work grows with the documents that agree on eight registers instead of the square of those that agree
-    on four; only a pair that shares one band and no other would be missed (9e-9 at 85, 3e-6 at 80 hundredths).
+    link per component it joins, never all pairs. A pair is tried in its first common band only, and in each bucket
+    alike, whatever its size.
     """
     # a little wider than the threshold's factor, so rounding never puts a pair at the threshold two levels apart
     step = max(math.log(100 / rule.percent), 1e-9) * (1 + 1e-6)
@@ -311,36 +297,28 @@ def _open_links(members: DataFrame, labels: DataFrame, reps: DataFrame, docs: Da
     inside = look_up(marked, ["key"], mains, F.col("rep")).filter("labels > 1")
     inside = cut(inside.withColumn("odd", F.col("label") != F.col("main")).drop("labels", "main"))
     # a member outside the largest component in the cell of its level, and each member in those that it can be met from
-    role = lambda cell, odd: (F.col("key"), cell.alias("cell"), "band", F.lit(-1).alias("second"), "rep", "label", odd.alias("odd"), "n")
+    role = lambda cell, odd: (F.col("key"), cell.alias("cell"), "band", "rep", "label", odd.alias("odd"), "n")
     beside = F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))
     roles = inside.filter("odd").select(*role(F.col("level"), F.lit(True))).union(inside.select(*role(beside, F.lit(False))))
     dealt = _dealt(roles)
-    large = F.greatest("gm", "gl") > SPLIT_CHUNKS
-    if not dealt.filter(large).isEmpty():
-        finer = _dealt(_by_second_band(dealt.filter(large).drop("gm", "gl"), reps, rule))
-        dealt = dealt.filter(~large).unionByName(finer)
     at = lambda g: F.array(F.pmod(F.xxhash64("rep"), F.col(g)).cast("int"))
     every = lambda g: F.sequence(F.lit(0), F.col(g) - 1)
     rows = dealt.withColumn("lc", F.explode(F.when(F.col("odd"), at("gl")).otherwise(every("gl"))))
     rows = rows.withColumn("mc", F.explode(F.when(F.col("odd"), every("gm")).otherwise(at("gm"))))
-    rows = rows.join(reps.select("rep", "sig"), "rep").select("key", "cell", "lc", "mc", "band", "second", "rep", "label", "odd", "n", "sig")
+    rows = rows.join(reps.select("rep", "sig"), "rep").select("key", "cell", "lc", "mc", "band", "rep", "label", "odd", "n", "sig")
 
     def candidates(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
         """For each odd row the rows of other components to try, likeliest first."""
         label, odd, sizes = (t.column(k).to_numpy() for k in ("label", "odd", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(len(label), -1)
-        band, second, any_ = t.column("band")[0].as_py(), t.column("second")[0].as_py(), np.flatnonzero(~odd)
+        band, any_ = t.column("band")[0].as_py(), np.flatnonzero(~odd)
         for x in np.flatnonzero(odd).tolist():
             other = any_[(label[any_] != label[x]) & (np.minimum(sizes[any_], sizes[x]) * 100 >= rule.percent * np.maximum(sizes[any_], sizes[x]))]
             same = sig[other] == sig[x]
             near = same.sum(1) >= (rule.least_estimate - 0.03) * rule.registers
             other, same = other[near], same[near]
             shared = same.reshape(len(other), rule.bands, rule.rows).all(2)
-            first = shared.argmax(1) == band
-            if second >= 0:
-                shared[:, band] = False
-                first &= shared.argmax(1) == second
-            other = other[first]
+            other = other[shared.argmax(1) == band]
             if len(other):
                 est = joint_estimate(*_counts(sig[other], sig[x]), sizes[other].astype(float), np.full(len(other), float(sizes[x])))
                 order = np.argsort(-est, kind="stable")

@@ -310,30 +310,30 @@ def test_components_equal_brute_force(spark, texts, rule):
     assert got_components(near_dup.near_duplicates(df, rule)) == components_by_brute_force(some, rule)
 
 
-@pytest.mark.parametrize("split", [near_dup.SPLIT_CHUNKS, 0])
-def test_large_groups_are_cut_into_chunks(spark, monkeypatch, split):
+def test_large_groups_are_cut_into_chunks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "CHUNK_MEMBERS", 16)
-    monkeypatch.setattr(near_dup, "SPLIT_CHUNKS", split)
     monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 0)
     some = noisy_copies(60, 2)
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
     assert got_components(near_dup.near_duplicates(df, near_dup.CONTRACT)) == components_by_brute_force(some, near_dup.CONTRACT)
 
 
-def test_unlike_texts_of_one_bucket_meet_by_a_second_band(spark, monkeypatch):
+@pytest.mark.parametrize("bands", [near_dup.CONTRACT.bands, 1])
+def test_links_do_not_depend_on_the_number_of_chunks(spark, monkeypatch, bands):
     # a passage gives 160 texts the same least registers; few of them agree on a second band, some are near copies
-    monkeypatch.setattr(near_dup, "CHUNK_MEMBERS", 16)
-    monkeypatch.setattr(near_dup, "SPLIT_CHUNKS", 2)
     rnd = random.Random(9)
     passage = [f"p{k}" for k in range(100)]
     some = {k: " ".join([*passage, *(f"u{rnd.randrange(10**6)}" for _ in range(rnd.randint(20, 60)))]) for k in range(160)}
     some |= {1000 + k: some[k] + " more" for k in range(0, 160, 7)}
     df = spark.createDataFrame(list(some.items()), "doc_id long, text string")
-    split = []
-    by_second = near_dup._by_second_band
-    monkeypatch.setattr(near_dup, "_by_second_band", lambda roles, *rest: split.append(roles.count()) or by_second(roles, *rest))
-    assert got_components(near_dup.near_duplicates(df, near_dup.CONTRACT)) == components_by_brute_force(some, near_dup.CONTRACT)
-    assert split and split[0] > 0
+    rule = near_dup.Rule(words=3, percent=85, bands=bands)
+    found = []
+    for members in (512, 4):  # one chunk a bucket, and up to 40
+        monkeypatch.setattr(near_dup, "CHUNK_MEMBERS", members)
+        found.append(got_components(near_dup.near_duplicates(df, rule)))
+    assert found[0] == found[1] and len({c for _, c in found[0].values()}) < len(some)
+    if bands > 1:
+        assert found[0] == components_by_brute_force(some, rule)
 
 
 def test_sets_of_sizes_at_the_threshold_are_linked(spark, monkeypatch):
