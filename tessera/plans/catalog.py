@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from tessera.functions import scalars, udfs
-from tessera.operators import aggregates, joins, relational, textjoins, windows
+from tessera.operators import aggregates, joins, relational, selection, textjoins, windows
 from tessera.plans.registry import Registry
 from tessera.sources import files
 from tessera.streaming import windows as streams
 
 REGISTRY = Registry()
-for module in (relational, joins, textjoins, aggregates, windows, scalars, udfs, files, streams):
+for module in (relational, joins, textjoins, aggregates, selection, windows, scalars, udfs, files, streams):
     module.register_queries(REGISTRY)
