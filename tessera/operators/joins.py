@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.operators.relational import unused
 from tessera.plans.registry import Registry
 from tessera.session import table
 
@@ -45,10 +46,11 @@ def range_join(points: DataFrame, at: Column, ranges: DataFrame, low: Column, hi
     A range is copied to each bucket it touches and each point lies in one, so every pair is found once; choose
     a width near the usual length of a range.
     """
-    a = points.withColumn("_bucket", F.floor(at / width))
+    bucket = unused([*points.columns, *ranges.columns], "_bucket")
+    a = points.withColumn(bucket, F.floor(at / width))
     last = F.greatest(F.ceil(high / width) - 1, F.floor(low / width))
-    b = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(low / width), last)))
-    return a.join(b, "_bucket").filter((at >= low) & (at < high)).drop("_bucket")
+    b = ranges.withColumn(bucket, F.explode(F.sequence(F.floor(low / width), last)))
+    return a.join(b, bucket).filter((at >= low) & (at < high)).drop(bucket)
 
 
 def register_queries(r: Registry) -> None:

@@ -10,15 +10,24 @@ from tessera.plans.registry import Registry
 from tessera.session import table
 
 
+def unused(columns: list[str], name: str) -> str:
+    """`name`, with as many underscores in front as keep it apart from the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def top_k_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
-    """The first k rows of each group; planned with a per-partition group limit before the shuffle."""
-    w = Window.partitionBy(*group).orderBy(*order)
-    return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    """The first k rows of each group with their number in `rn` (`_rn` if there is an `rn`); planned with a per-partition
+    group limit before the shuffle."""
+    w, rn = Window.partitionBy(*group).orderBy(*order), unused(df.columns, "rn")
+    return df.withColumn(rn, F.row_number().over(w)).filter(F.col(rn) <= k)
 
 
 def placed(df: DataFrame, group: list[str], order: list) -> DataFrame:
-    """Every row with its place in the order of its group, from 1."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    """Every row with its place in the order of its group, from 1, in `place` (`_place` if there is a `place`)."""
+    return df.withColumn(unused(df.columns, "place"), F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 
 
 def register_queries(r: Registry) -> None:

@@ -261,3 +261,13 @@ def test_funnel_expires_and_takes_rows_in_order(spark):
     for steps in (1, 4):
         got = run_in_steps(arrivals(df, F.lit(0), steps), lambda s: funnel(s.withWatermark("ts", "1 hour")))
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_columns_named_as_inside_are_kept(spark):
+    points = spark.createDataFrame([(1.0, "a"), (4.0, "b")], "p double, _bucket string")
+    ranges = spark.createDataFrame([(0.0, 3.0, "x")], "lo double, hi double, __bucket string")
+    got = range_join(points, F.col("p"), ranges, F.col("lo"), F.col("hi"), 2.0).collect()
+    assert [(r["p"], r["_bucket"], r["__bucket"]) for r in got] == [(1.0, "a", "x")]
+    df = spark.createDataFrame([("a", 5, 7, 9), ("a", 6, 8, 9)], "g string, v int, rn int, place int")
+    assert [(r["rn"], r["_rn"]) for r in top_k_per_group(df, ["g"], [F.desc("v")], 1).collect()] == [(8, 1)]
+    assert sorted((r["place"], r["_place"]) for r in placed(df, ["g"], ["v"]).collect()) == [(9, 1), (9, 2)]
