@@ -25,6 +25,12 @@ def pricing_summary(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def _near_medians(orders: DataFrame, about: DataFrame, most: float) -> DataFrame:
+    """(o_orderstatus, near): whether the share of prices up to the estimate is within `most` of a half, by counting them."""
+    share = F.count_if(F.col("o_totalprice") <= F.col("about")) / F.count(F.lit(1))
+    return orders.join(about, "o_orderstatus").groupBy("o_orderstatus").agg((F.abs(share - 0.5) <= most).alias("near"))
+
+
 def register_queries(r: Registry) -> None:
     @r.query(
         "agg_pricing_summary",
@@ -156,21 +162,18 @@ def register_queries(r: Registry) -> None:
         by = orders.groupBy("o_orderstatus").agg(
             F.hll_sketch_agg("o_custkey", F.lit(12)).alias("hll"),
             F.percentile_approx("o_totalprice", 0.5, 10000).alias("about"),
-            F.percentile("o_totalprice", 0.5).alias("median"),
-        )
-        merged = by.agg(
-            F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("about"),
-            F.count_if(F.abs(F.col("about") - F.col("median")) <= 0.02 * F.col("median")).alias("near_medians"),
-            F.count(F.lit(1)).alias("statuses"),
         )
+        merged = by.agg(F.hll_sketch_estimate(F.hll_union_agg("hll")).alias("about"), F.count(F.lit(1)).alias("statuses"))
+        merged = merged.crossJoin(_near_medians(orders, by.select("o_orderstatus", "about"), 0.02).agg(F.count_if("near").alias("near_medians")))  # one row each
         exact = orders.agg(F.count_distinct("o_custkey").alias("customers"))
         joined = merged.crossJoin(exact)  # one row each
         return joined.select("customers", (F.abs(F.col("about") - F.col("customers")) <= 0.06 * F.col("customers")).alias("near_customers"), "near_medians", "statuses")
 
-    @r.query("agg_kll_quantiles")
+    @r.query("agg_kll_quantiles", "SELECT DISTINCT o_orderstatus, true AS near FROM orders")
     def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-        by = table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.expr("kll_sketch_agg_double(o_totalprice)").alias("kll"))
-        return by.select("o_orderstatus", F.round(F.expr("kll_sketch_get_quantile_double(kll, 0.5)"), 2).alias("median"))
+        orders = table(spark, sf_dir, "orders")
+        by = orders.groupBy("o_orderstatus").agg(F.expr("kll_sketch_agg_double(o_totalprice)").alias("kll"))
+        return _near_medians(orders, by.select("o_orderstatus", F.expr("kll_sketch_get_quantile_double(kll, 0.5)").alias("about")), 0.05)
 
     @r.query(
         "agg_map_histogram",
