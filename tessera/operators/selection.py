@@ -13,7 +13,8 @@ from tessera.sources.files import scratch
 SORTED, PARTS, BROADCAST_RANGES = 100_000, 256, 100_000
 
 
-def _kept(df: DataFrame) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written and read again, so that later jobs neither repeat their work nor see them change."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -31,7 +32,7 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str
     keys = [f"_{k}" for k in range(len(by))]
     whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
     ranks = F.array_distinct(F.array(*(f(F.lit(s) * (F.col("n") - 1)).cast("long") for s in shares.values() for f in (F.floor, F.ceil))))
-    state = _kept(whole.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.explode(ranks).alias("rank")))
+    state = kept(whole.select(*keys, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"), F.explode(ranks).alias("rank")))
 
     def within(ranges: DataFrame) -> DataFrame:
         """The values of each range."""
@@ -46,13 +47,13 @@ def exact_percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str
     while not (open_ := state.filter(wide)).isEmpty():
         at = [*keys, "rank", "lo", "hi", "below"]
         cuts = F.percentile_approx("x", [k / PARTS for k in range(PARTS + 1)], 10_000).alias("pivots")
-        pivots = _kept(within(open_).groupBy(*at).agg(F.array_distinct(cuts).alias("pivots")))
+        pivots = kept(within(open_).groupBy(*at).agg(F.array_distinct(cuts).alias("pivots")))
         part = F.size(F.filter("pivots", lambda p: p < F.col("x"))).alias("part")
         counts = within(pivots).groupBy(*keys, "rank", "below", part).agg(F.count(F.lit(1)).alias("inside"), F.min("x").alias("lo"), F.max("x").alias("hi"))
         before = F.coalesce(F.sum("inside").over(Window.partitionBy(*keys, "rank").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         counts = counts.withColumn("below", F.col("below") + before).filter((F.col("rank") >= F.col("below")) & (F.col("rank") < F.col("below") + F.col("inside")))
         narrowed = counts.withColumn("n", F.lit(None).cast("long"))
-        state = _kept(state.filter(~wide).unionByName(narrowed.select(*state.columns)))
+        state = kept(state.filter(~wide).unionByName(narrowed.select(*state.columns)))
     done = state.filter("lo = hi").select(*keys, "rank", F.col("lo").alias("v"))
     w = Window.partitionBy(*keys, "rank").orderBy("x")
     rest = within(state.filter("lo < hi")).withColumn("at", F.row_number().over(w) - 1 + F.col("below")).filter("at = rank").select(*keys, "rank", F.col("x").alias("v"))
