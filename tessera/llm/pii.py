@@ -243,6 +243,9 @@ def train(examples: list[tuple[list, Edges, Edges, Edges, list[int]]], steps: in
 def learn(counts: Counts, steps: int = 300) -> Model:
     """Piecewise training: softmax regression for the unary potentials, smoothed log odds for the edges.
 
+    The odds of skip and similar edges are against the labels' frequency among all nodes, which the unary potentials
+    hold already; those of chain edges against that among nodes with such an edge, which a feature tells.
+
     Without any example all potentials are zero, and nothing is ever added.
     """
     n = len(LABELS)
@@ -259,6 +262,10 @@ def learn(counts: Counts, steps: int = 300) -> Model:
             p = np.exp(x @ unary - (x @ unary).max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             unary -= 1.0 * (x.T @ (weight * (p - y)) + 1e-4 * unary)
+    of_nodes = np.full(n, SMOOTH)
+    for key, c in rows:
+        of_nodes[key[-1]] += c
+    of_nodes /= of_nodes.sum()
     pair = []
     for which in (_CHAIN, _SKIP, _SIMILAR):
         c = np.full((n, n), SMOOTH)
@@ -266,7 +273,7 @@ def learn(counts: Counts, steps: int = 300) -> Model:
             if what == which:
                 c[key] += times
         c = c / c.sum()
-        pair.append(np.clip(np.log(c / np.outer(c.sum(1), c.sum(0))), -3, 3) if counts else np.zeros((n, n)))
+        pair.append(np.clip(np.log(c / (np.outer(c.sum(1), c.sum(0)) if which == _CHAIN else np.outer(of_nodes, of_nodes))), -3, 3) if counts else np.zeros((n, n)))
     return Model(unary, *pair)
 
 
@@ -276,8 +283,53 @@ STILL = 1e-4
 PATIENCE, LEAST_RATE = 100, 1 / 64
 
 
-def marginals(nodes: list[tuple[int, ...]], chain: Edges, skip: Edges, similar: Edges, clamped: list[int], model: Model, rounds: int | None = None) -> np.ndarray:
-    """Label marginals by loopy sum-product message passing; tokens in base spans are clamped to their label.
+#: Digits of a card and a phone number, and of each part of a card number that white space divides.
+CARD_DIGITS, PHONE_DIGITS, CARD_PART = (13, 19), (9, 15), 3
+#: Log potential of a label for the tokens of a whole number of that kind, as large as an edge can have.
+WHOLE = 3.0
+_PLAIN = re.compile(r"[+(]?[0-9][0-9().-]*")
+
+#: Kind, first and last token.
+Window = tuple[int, int, int]
+
+
+def whole_numbers(text: str, spans: list[tuple[int, int]], taken: list[int]) -> list[Window]:
+    """Cards and phone numbers made of whole tokens that no base span touches, first to last, longest first.
+
+    The patterns miss them where they read them together with what stands behind or before, and then fail the check.
+    A window ends with its kind's most digits, so the work is linear in the text.
+    """
+    cores = []
+    for (a, b), label in zip(spans, taken, strict=True):
+        core = "" if label or b - a > 64 else text[a:b].strip(_EDGE)
+        cores.append(core if _PLAIN.fullmatch(core) else "")
+    out: list[Window] = []
+    k = 0
+    while k < len(spans):
+        best = None
+        if cores[k]:
+            phone = cores[k][0] == "+"
+            least, most = PHONE_DIGITS if phone else CARD_DIGITS
+            start = spans[k][0] + text[spans[k][0] : spans[k][1]].find(cores[k])
+            digits, j = "", k
+            while j < len(spans) and cores[j] and (j == k or spans[j][0] - spans[j - 1][1] <= 1):
+                more = _digits(cores[j])
+                if not phone and len(more) < CARD_PART or len(digits) + len(more) > most:
+                    break
+                digits += more
+                end = spans[j][0] + text[spans[j][0] : spans[j][1]].find(cores[j]) + len(cores[j])
+                if len(digits) >= least and (_PHONE if phone else _CARD).fullmatch(text, start, end) and (phone or luhn(digits)):
+                    best = (3 if phone else 2, k, j)
+                j += 1
+        if best:
+            out.append(best)
+        k = best[2] + 1 if best else k + 1
+    return out
+
+
+def marginals(nodes: list[tuple[int, ...]], chain: Edges, skip: Edges, similar: Edges, clamped: list[int], model: Model, rounds: int | None = None, wholes: list[Window] | None = None) -> np.ndarray:
+    """Label marginals by loopy sum-product message passing; tokens in base spans are clamped to their label, those of
+    whole numbers lean to theirs.
 
     Messages are passed until none changes any more (or for `rounds`), however long the chains; a round only
     works on those that may still change. Half of each change is taken. Where messages swing in a loop and don't
@@ -287,6 +339,8 @@ def marginals(nodes: list[tuple[int, ...]], chain: Edges, skip: Edges, similar:
     for k, label in enumerate(clamped):
         if label:
             own[k] = np.where(np.arange(len(LABELS)) == label, 0.0, -30.0)
+    for kind, first, last in wholes or ():
+        own[first : last + 1, 1 + kind] += WHOLE
     edges = [*chain, *skip, *similar]
     if edges:
         a, half = np.array(edges), len(edges)
@@ -328,7 +382,11 @@ SURE = 0.6
 
 
 def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
-    """Base spans, and base spans plus those that the field adds, each in order of kind and start."""
+    """Base spans, and base spans plus those that the field adds, each in order of kind and start.
+
+    A whole number is added with all its tokens or not at all; other tokens that follow each other with one label are
+    one span while their digits can be those of one number.
+    """
     base = base_spans(text)
     spans = tokens_of(text)
     if not spans:
@@ -336,21 +394,29 @@ def all_spans(text: str, model: Model) -> tuple[list[Span], list[Span]]:
     labels = weak_labels(spans, base)
     if all(labels):
         return base, base
-    p = marginals(*graph(text, spans), labels, model)
+    wholes = whole_numbers(text, spans, labels)
+    p = marginals(*graph(text, spans), labels, model, wholes=wholes)
     added: list[list[int]] = []
-    for k, (a, b) in enumerate(spans):
+    cores = {k: text[a:b].strip(_EDGE) for k, (a, b) in enumerate(spans) if not labels[k]}
+    starts = {k: spans[k][0] + text[slice(*spans[k])].find(core) for k, core in cores.items()}
+    inside = set()
+    for kind, first, last in wholes:
+        inside.update(range(first, last + 1))
+        if p[first : last + 1, 1 + kind].mean() >= SURE:
+            added.append([kind, starts[first], starts[last] + len(cores[last])])
+    most = {2: CARD_DIGITS[1], 3: PHONE_DIGITS[1]}
+    open_, held = None, 0  # the span that may go on, and its digits
+    for k, core in cores.items():
         kind = int(p[k].argmax()) - 1
-        if labels[k] or kind < 0 or p[k].max() < SURE:
-            continue
-        core = text[a:b].strip(_EDGE)
-        start = a + text[a:b].find(core) if core else a
-        if not core:
+        if k in inside or not core or kind < 0 or p[k].max() < SURE:
             continue
-        if added and added[-1][0] == kind and start - added[-1][2] <= 1:
-            added[-1][2] = start + len(core)  # parts of one number
+        start, more = starts[k], len(_digits(core)) if kind in most else 0
+        if open_ and open_[0] == kind in most and start - open_[2] <= 1 and held + more <= most[kind]:
+            open_[2], held = start + len(core), held + more  # parts of one number
         else:
-            added.append([kind, start, start + len(core)])
-    return base, sorted([*base, *map(tuple, added)])
+            open_, held = [kind, start, start + len(core)], more
+            added.append(open_)
+    return base, sorted({*base, *map(tuple, added)})
 
 
 #: Documents that the field learns from, about: those whose id and text hash into a share of the table.
