@@ -38,7 +38,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return packing.pack(cut(packing.cut_into_pieces(docs, path, packing.SEQUENCE)), packing.SEQUENCE)
+    return packing.pack(packing.cut_into_pieces(docs, path, packing.SEQUENCE), packing.SEQUENCE)
 
 
 STAGES = [

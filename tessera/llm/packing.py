@@ -14,15 +14,15 @@ from tessera.llm.common import cut, map_arrow, map_groups, slices
 from tessera.llm.tokens import WordBpe, ready
 from tessera.session import table
 
-#: Pieces that one packing task holds, about (some 60 bytes each).
-PIECES_PER_PART = 100_000
+#: Pieces that one part holds, about.
+PIECES_PER_PART = 4_000
 #: Bins that a certified part gives up at most (an eighth of its bins, if that is less): the emptiest.
 RELEASED = 16
 #: The id that ends each document.
 END_ID = 1
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", bin long, offset long, certified boolean, loose boolean, part long"
+PACKED = PIECES + ", row long, bin long, offset long, certified boolean, loose boolean, part long"
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
@@ -113,7 +113,8 @@ def settle(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataFrame:
     """Adds sequence_id, offset and certified to rows (doc_id, piece, start, length, ids_crc32).
 
-    Pieces are dealt at random into parts of about `per_part`; each part packs by best-fit decreasing, and
+    Pieces are numbered and written, and dealt by a hash of their number, so no null or repeated id makes a large part,
+    into parts of about `per_part`; each part packs by best-fit decreasing, and
     dual feasible functions certify its bin count. Certified parts keep their bins but for the emptiest few; parts
     with gaps give up the emptier half of theirs. What was given up is exchanged (dealt anew, into fewer parts of the
     same size) and packed again, until one part holds the rest; so the bins in question halve at least from round to
@@ -126,19 +127,20 @@ def pack(pieces: DataFrame, size: int, per_part: int = PIECES_PER_PART) -> DataF
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         bins, offsets, loose, certified = settle(t.column("length").to_numpy(), size)
-        out = t.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        out = t.select([*columns, "row"])
         more = (("bin", bins), ("offset", offsets), ("certified", np.full(len(bins), certified)), ("loose", loose), ("part", np.full(len(bins), key[0].as_py())))
         for name, column in more:
             out = out.append_column(name, pa.array(column))
         return out
 
     columns = [c.split()[0] for c in PIECES.split(", ")]
-    done, rest, level = [], pieces, 0
-    parts = max(1, -(-pieces.count() // per_part))
+    rest = cut(pieces.select(*columns, F.monotonically_increasing_id().alias("row")))
+    done, level = [], 0
+    parts = max(1, -(-rest.count() // per_part))
     while True:
         # the level is hashed too, so parts exchange their documents
-        part = F.pmod(F.xxhash64(*columns[:3], F.lit(level)), F.lit(parts)).alias("part")
-        packed = cut(map_groups(rest.select(*columns, part), ["part"], run, PACKED))
+        part = F.pmod(F.xxhash64("row", F.lit(level)), F.lit(parts)).alias("part")
+        packed = cut(map_groups(rest.select(*columns, "row", part), ["part"], run, PACKED))
         # a sequence's number: level, part, bin
         number = F.lit(level << 56) + F.shiftleft(F.col("part"), 28) + F.col("bin")
         stays = F.lit(True) if parts == 1 else ~F.col("loose")
@@ -162,4 +164,4 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    return pack(cut(cut_into_pieces(table(spark, sf_dir, "documents"), path, SEQUENCE)), SEQUENCE)
+    return pack(cut_into_pieces(table(spark, sf_dir, "documents"), path, SEQUENCE), SEQUENCE)

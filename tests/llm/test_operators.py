@@ -504,6 +504,25 @@ def test_lower_bound_never_exceeds_the_optimum():
     assert tight > 130
 
 
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_null_and_repeated_ids_are_spread_over_the_parts(spark, doc_id):
+    lengths = np.random.default_rng(4).integers(260, 501, 3000)
+    df = spark.createDataFrame([(doc_id, 0, 0, int(x), 0) for x in lengths], packing.PIECES)
+    got = packing.pack(df, 1000, per_part=100).collect()
+    assert sorted(r["length"] for r in got) == sorted(lengths.tolist())
+    first = Counter(r["sequence_id"] >> 28 for r in got if r["sequence_id"] >> 56 == 0)
+    assert len(first) == 30 and max(first.values()) <= 150
+
+
+def test_registered_part_size_leaves_more_than_one_part(spark):
+    docs = spark.read.parquet(f"{TESTDATA}/sf0.1/documents.parquet")
+    pieces_ = common.cut(packing.cut_into_pieces(docs, WORD, packing.SEQUENCE))
+    got = packing.pack(pieces_, packing.SEQUENCE)
+    used = got.select("sequence_id").distinct()
+    assert used.filter("shiftright(sequence_id, 56) > 0").count() > 0 and got.count() == pieces_.count()
+    assert used.count() <= packing.pack(pieces_, packing.SEQUENCE, per_part=1 << 30).select("sequence_id").distinct().count() + 1
+
+
 def test_packing_of_awkward_rows(spark):
     pieces_ = packing.cut_into_pieces(awkward(spark), WORD, 512)
     got = packing.pack(common.cut(pieces_), 512).collect()
