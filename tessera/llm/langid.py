@@ -18,6 +18,8 @@ from tessera.session import table
 GRAMS, BUCKETS = (1, 2, 3, 4), 1 << 15
 #: Labelled documents that the model learns from, for each language, about.
 TRAIN_DOCS = 3000
+#: Languages that the model holds at most (131,072 log probabilities, half a MB, each).
+LANGUAGES = 128
 #: Added to each count.
 SMOOTH = 0.5
 #: Log probabilities are whole multiples of 1 / SCALE, so sums don't depend on their order.
@@ -165,19 +167,25 @@ def is_held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_DOCS) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_DOCS, languages: int = LANGUAGES) -> Model:
     """Learns from the text and non-null language of documents that are not held out.
 
-    Of each language about `bound` documents, chosen by a hash of their ids, are read. Their n-grams are
-    counted where they lie: a task returns one row of bucket counts per language, and these are added up,
-    so what reaches the driver is (buckets x languages), whatever the number of documents.
+    Of each language about `bound` documents are read, and of more than `languages` languages only those with the most
+    documents (of equal ones the first by name), so a column of dirty values can't make the model larger. A document
+    counts if its id and text hash into a share of its language; rows that repeat both count together. N-grams
+    are counted where they lie: a task returns one row of bucket counts per language, and these are added up, so what
+    reaches the driver is (buckets x languages), whatever the number of documents.
+
+    Null ids are ids like others; null texts and null languages teach nothing; long texts count whole; equal rows give
+    equal counts, whatever their order; an empty table gives a model without a language.
     """
     labelled = docs.filter(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(lang_col).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.orderBy(F.desc("_n"), lang_col).limit(languages)
     share = F.greatest(F.lit(1), F.floor(F.col("_n") / bound))
-    # one row per language, as the model has one column for each: few, however many documents there are
+    # one row per language, as the model has one column for each: at most `languages`
     chosen = labelled.select(F.col(lang_col), text_col, id_col).join(F.broadcast(sizes), lang_col)
-    chosen = chosen.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), share) == 0).select(lang_col, text_col)
+    chosen = chosen.filter(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang"), F.col(text_col)), share) == 0).select(lang_col, text_col)
     size = len(GRAMS) * BUCKETS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -135,6 +135,32 @@ def test_languages_equal_brute_force_and_ignore_held_out_labels(spark, documents
         assert all(math.isclose(got[d][1], want[d][1], abs_tol=1e-9) for d in want)
 
 
+def test_languages_and_repeated_ids_stay_within_their_bounds(spark):
+    rows = [(None, f"{chr(97 + k % 26)} word {n}", f"x{k:02d}") for k in range(30) for n in range(2 + (k < 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, languages=5).langs == ["x00", "x01", "x02", "x03", "x04"]
+    # many rows of one id: about as many are read as of distinct ids
+    same = spark.range(4000).selectExpr("1L AS doc_id", "concat('text ', id) AS text", "'en' AS lang")
+    distinct = same.selectExpr("row_number() OVER (ORDER BY text) AS doc_id", "text", "lang")
+    read = []
+    fold = langid._counts
+    seen = spark.sparkContext.accumulator(0)
+
+    def counting(texts, size):
+        seen.add(len(texts))
+        return fold(texts, size)
+
+    langid._counts = counting
+    try:
+        for df in (same, distinct):
+            before = seen.value
+            langid.fit(df, bound=400)
+            read.append(seen.value - before)
+    finally:
+        langid._counts = fold
+    assert all(250 <= n <= 550 for n in read), read
+
+
 def test_texts_that_no_language_fits_go(spark):
     docs = spark.read.parquet(f"{TESTDATA}/sf0.01/documents.parquet")
     rnd = random.Random(1)
