@@ -176,7 +176,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     are counted where they lie: a task returns one row of bucket counts per language, and these are added up, so what
     reaches the driver is (buckets x languages), whatever the number of documents.
 
-    Null ids are ids like others; null texts and null languages teach nothing; long texts count whole; equal rows give
+    Rows with a null id are held out; null texts and null languages teach nothing; long texts count whole; equal rows give
     equal counts, whatever their order; an empty table gives a model without a language.
     """
     labelled = docs.filter(~is_held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())

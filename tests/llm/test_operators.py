@@ -136,7 +136,7 @@ def test_languages_equal_brute_force_and_ignore_held_out_labels(spark, documents
 
 
 def test_languages_and_repeated_ids_stay_within_their_bounds(spark):
-    rows = [(None, f"{chr(97 + k % 26)} word {n}", f"x{k:02d}") for k in range(30) for n in range(2 + (k < 3))]
+    rows = [(1, f"{chr(97 + k % 26)} word {n}", f"x{k:02d}") for k in range(30) for n in range(2 + (k < 3))]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit(df, languages=5).langs == ["x00", "x01", "x02", "x03", "x04"]
     # many rows of one id: about as many are read as of distinct ids
